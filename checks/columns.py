@@ -119,11 +119,11 @@ def filled(spark, folder):
 _UNIT = ", ".join(f"(coalesce({a}, 3) - 1) / 4" for a in S.VECTOR_ASPECTS)
 
 
-@query("b14_normalise_aspects", f"""select row_key, i - 1 as at, round(v[i], 6) as x
+@query("b14_normalise_aspects", f"""select row_key, i - 1 as pos, round(v[i], 6) as x
        from (select row_key, [{_UNIT}] as v from inter), range(1, 7) as r(i)""")
 def aspect_vectors(spark, folder):
     vectors = cleaning.normalise_aspects(D.inter(spark, folder))
-    return vectors.select("row_key", F.posexplode("aspects").alias("at", "x"))
+    return vectors.select("row_key", F.posexplode("aspects").alias("pos", "x"))
 
 
 @query("b15_normalise_rating", "select row_key, (rating - 1) / 4 as target from inter")
@@ -196,13 +196,13 @@ def implicit(spark, folder):
     return cleaning.default_rating(events)
 
 
-@query("b23_softmax", """select vec_id, i - 1 as at, round(exp(e[i] - top) / total, 6) as x
+@query("b23_softmax", """select vec_id, i - 1 as pos, round(exp(e[i] - top) / total, 6) as x
        from (select *, list_sum(list_transform(e, lambda x: exp(x - top))) as total from
              (select vec_id, embedding::double[] as e, list_max(embedding::double[]) as top from embeddings)),
             range(1, 65) as r(i)""")
 def soft(spark, folder):
     v = D.table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    return v.select("vec_id", F.posexplode(V.softmax("e")).alias("at", "x"))
+    return v.select("vec_id", F.posexplode(V.softmax("e")).alias("pos", "x"))
 
 
 @query("b24_hadamard_dot", """select a.vec_id, round(list_dot_product(a.e, b.e), 6) as dot,

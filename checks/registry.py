@@ -28,12 +28,13 @@ def query(name: str, sql: str | None = None, **ctes: str) -> Callable[[Query], Q
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Plain column types, doubles to six digits (adding zero turns -0.0 into 0.0)."""
+    """Plain column types, doubles to six digits as the other engine rounds (adding zero turns -0.0 into 0.0)."""
     cols = []
     for name, kind in df.dtypes:
         c = F.col(name)
         if kind in ("double", "float") or kind.startswith("decimal"):
-            c = F.round(c.cast("double"), DIGITS) + F.lit(0.0)
+            scale = 10.0 ** DIGITS
+            c = F.round(c.cast("double") * scale, 0) / scale + F.lit(0.0)
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("long")
         cols.append(c.alias(name))
