@@ -146,20 +146,25 @@ def _inputs(spark, folder):
         factors=_factors(spark, folder),
         user_text=text.user_text_profile(rows, train, "embedding", D.DIM, n_users),
         item_text=text.item_text_profile(rows, "embedding", D.DIM, n_items),
+        text_dim=D.DIM,
         weights=aspects.user_aspect_weights(train),
         item_aspects=aspects.item_aspect_means(train, n_items))
 
 
 @query("k13_fusion_ranker")
 def fused(spark, folder):
+    from rankwell.scratch import staged
+
     made = _inputs(spark, folder)
+    texts = {"user_text": made.user_text, "item_text": made.item_text, "text_dim": D.DIM}
     variants = {
         "all": made,
         "factors_only": fusion.Inputs(factors=made.factors),
-        "text_only": fusion.Inputs(user_text=made.user_text, item_text=made.item_text),
-        "no_attention": fusion.Inputs(factors=made.factors, user_text=made.user_text, item_text=made.item_text),
+        "text_only": fusion.Inputs(**texts),
+        "no_attention": fusion.Inputs(factors=made.factors, **texts),
     }
-    labelled, out = _labelled(spark, folder), D.candidates(spark, folder)
+    labelled = staged(made.add(_labelled(spark, folder)), "labelled")
+    out = staged(made.add(D.candidates(spark, folder)), "features")
     for name, inputs in variants.items():
         out = fusion.fusion_ranker(labelled, inputs, [16], iterations=5).score(out, name)
     return blending.component_metrics(out, list(variants))

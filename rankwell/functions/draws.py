@@ -22,11 +22,14 @@ def draw_below(bound: Column, *parts: Column | str | int) -> Column:
     return F.when(bound > 0, F.pmod(number, F.nullif(bound, F.lit(0).cast("long"))))
 
 
-def unseen_item(seen: Column, r: Column) -> Column:
-    """The r-th item id (from 0) that is missing from `seen`, a sorted array of distinct ids.
+def free_below(taken: Column) -> Column:
+    """For each item of `taken` (sorted, distinct ids), how many smaller ids are not in it."""
+    return F.transform(taken, lambda p, i: p - i)
 
-    `id - position` counts the free ids below a taken one, so the answer is r plus the number of
-    taken ids that have at most r free ids below them.
+
+def unseen_item(free: Column, r: Column) -> Column:
+    """The r-th item id (from 0) that is not taken, given `free_below` of the taken ones.
+
+    It is r plus the number of taken ids that have at most r free ids below them.
     """
-    free_below = F.transform(seen, lambda p, i: p - i)
-    return r + F.size(F.filter(free_below, lambda f: f <= r))
+    return r + F.size(F.filter(free, lambda f: f <= r))

@@ -8,6 +8,8 @@ they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,40 +94,35 @@ def previous_value(df: DataFrame, part: list[str], order: list[str], value: str,
     )
 
 
-def smallest_keys(df: DataFrame, key: Column, ranks: list[int], small: int = 20_000) -> list[str | None]:
+def smallest_keys(df: DataFrame, key: Column, ranks: Callable[[int], list[int]],
+                  small: int = 20_000) -> list[str | None]:
     """For each rank n, the n-th smallest value (from 1) of `key`, a column of 32 uniform hex digits.
 
-    Counts per leading digits narrow the range four digits at a time until few rows are left, so the
-    rows are never sorted.  The driver sees at most 65,536 counts and `small` keys.
+    `ranks` makes the ranks from the number of rows; one below 1 gives None.  Counts per leading
+    digits narrow the range four digits at a time until few rows are left, so the rows are never
+    sorted.  The driver sees at most 65,536 counts and `small` keys at a time.
     """
     keyed = df.select(key.alias("_k"))
-    total_prefix: dict[str, list[tuple[str, int]]] = {}
+    known: dict[str, list[tuple[str, int]]] = {}
 
     def counts(prefix: str) -> list[tuple[str, int]]:
-        if prefix not in total_prefix:
-            digits = len(prefix) + 4
-            rows = (
-                keyed.where(F.col("_k").startswith(prefix)) if prefix else keyed
-            ).groupBy(F.substring("_k", 1, digits).alias("p")).count().collect()
-            total_prefix[prefix] = sorted((r["p"], r["count"]) for r in rows)
-        return total_prefix[prefix]
-
-    found: list[str | None] = []
-    for rank in ranks:
-        prefix, left = "", rank
+        if prefix not in known:
+            rows = (keyed.where(F.col("_k").startswith(prefix)) if prefix else keyed).groupBy(
+                F.substring("_k", 1, len(prefix) + 4).alias("p")).count().collect()
+            known[prefix] = sorted((r["p"], r["count"]) for r in rows)
+        return known[prefix]
+
+    def find(left: int) -> str | None:
+        prefix = ""
         while True:
             size = 0
-            for p, c in counts(prefix):
-                if left <= c:
-                    size = c
+            for p, size in counts(prefix):
+                if left <= size:
+                    prefix = p
                     break
-                left -= c
-            if size == 0 or rank < 1:
-                found.append(None)
-                break
-            prefix = p
+                left -= size
             if size <= small or len(prefix) >= 32:
-                tail = keyed.where(F.col("_k").startswith(prefix)).orderBy("_k").limit(left).collect()
-                found.append(tail[-1]["_k"])
-                break
-    return found
+                return keyed.where(F.col("_k").startswith(prefix)).orderBy("_k").limit(left).collect()[-1]["_k"]
+
+    total = sum(c for _, c in counts(""))
+    return [find(min(r, total)) if r >= 1 and total else None for r in ranks(total)]

@@ -19,12 +19,6 @@ def dot(u: Column | str, v: Column | str) -> Column:
     return F.aggregate(hadamard(u, v), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine(u: Column | str, v: Column | str) -> Column:
-    """Cosine, zero if one of the vectors is zero."""
-    norms = F.sqrt(dot(u, u)) * F.sqrt(dot(v, v))
-    return F.when(norms > 0, dot(u, v) / norms).otherwise(F.lit(0.0))
-
-
 def softmax(logits: Column | str) -> Column:
     a = _col(logits)
     top = F.array_max(a)

@@ -109,8 +109,12 @@ def random_split(df: DataFrame, key: list[str], ratios: tuple[float, float, floa
     looked up, after which the label is a comparison per row and the table itself is not shuffled.
     """
     h = hex_key(*[F.col(c) for c in key], seed)
-    n_train, n_val, _ = split_sizes(df.select(key[0]).count(), *ratios)
-    first, second = smallest_keys(df, h, [n_train, n_train + n_val])
+
+    def cuts(n: int) -> list[int]:
+        n_train, n_val, _ = split_sizes(n, *ratios)
+        return [n_train, n_train + n_val]
+
+    first, second = smallest_keys(df, h, cuts)
     label = F.when(h <= (first or ""), "train").when(h <= (second or ""), "val").otherwise("test")
     return df.withColumn(out, label)
 
@@ -129,11 +133,9 @@ def split_to_tables(labelled: DataFrame, path: str, split: str = "split") -> str
 
 def review_sample(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
     """`n` rows picked by the hash of their key: the same rows on every run, without a sort."""
-    if n <= 0:
-        return df.limit(0)
     h = hex_key(*[F.col(c) for c in key], seed)
-    cut = smallest_keys(df, h, [n])[0]
-    return df if cut is None else df.where(h <= cut)
+    cut = smallest_keys(df, h, lambda total: [n])[0]
+    return df.where(h <= (cut or ""))
 
 
 def user_positives(*splits: DataFrame) -> DataFrame:

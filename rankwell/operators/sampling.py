@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwell.functions import scalars as S
-from rankwell.functions.draws import draw_below, unseen_item
+from rankwell.functions.draws import draw_below, free_below, unseen_item
 from rankwell.functions.vectors import dot, hadamard
 from rankwell.operators.joins import lookup_vectors
 from rankwell.scratch import staged
@@ -41,18 +41,24 @@ def draw_unseen(rows: DataFrame, positives: DataFrame, n_items: int, first: int,
                                              positives.join(heavy, "user_id", "left_semi"), *args))
 
 
+def _spread(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows dealt out evenly before each is expanded: small partitions would be merged by their size before that."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *key)
+
+
 def _draw_with_array(rows, positives, n_items, first, last, seed, key, out, index) -> DataFrame:
     """One bounded array of taken items per user."""
     taken = positives.groupBy("user_id").agg(F.array_sort(F.collect_set("item_id")).alias("_seen"))
-    joined = rows.join(taken, "user_id", "left").withColumn(
-        "_seen", F.coalesce("_seen", F.array().cast("array<bigint>")))
-    drawn = joined.select(
-        *rows.columns,
-        "_seen",
-        F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias(index),
-    ).withColumn("_r", draw_below(F.lit(n_items) - F.size("_seen"), *[F.col(k) for k in key], F.col(index), seed))
+    none = F.array().cast("array<bigint>")
+    joined = rows.join(taken.select("user_id", free_below(F.col("_seen")).alias("_free")), "user_id", "left").withColumn(
+        "_free", F.coalesce("_free", none))
+    draws = F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))
+    drawn = _spread(joined, key).select(*rows.columns, "_free", F.explode(draws).alias(index)).withColumn(
+        "_r", draw_below(F.lit(n_items) - F.size("_free"), *[F.col(k) for k in key], F.col(index), seed))
     return drawn.where(F.col("_r").isNotNull()).select(
-        *rows.columns, index, unseen_item(F.col("_seen"), F.col("_r")).cast("long").alias(out))
+        *rows.columns, index, unseen_item(F.col("_free"), F.col("_r")).cast("long").alias(out))
 
 
 def _draw_by_blocks(rows, positives, n_items, first, last, seed, key, out, index) -> DataFrame:
@@ -73,7 +79,7 @@ def _draw_by_blocks(rows, positives, n_items, first, last, seed, key, out, index
         F.sum("_n").alias("_n_pos"),
     )
     drawn = (
-        rows.join(layout, "user_id")
+        _spread(rows.join(layout, "user_id"), key)
         .select(*rows.columns, "_layout", "_n_pos",
                 F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias(index))
         .withColumn("_r", draw_below(F.lit(n_items) - F.col("_n_pos"), *[F.col(k) for k in key], F.col(index), seed))
@@ -83,7 +89,7 @@ def _draw_by_blocks(rows, positives, n_items, first, last, seed, key, out, index
             F.col("_r") - F.col("_at.free") < F.lit(width) - F.col("_at._n"), F.col("_at._block")).alias("_block"))
     )
     inside = unseen_item(
-        F.transform("_taken", lambda p: p - F.col("_block") * width), F.col("_r") - F.col("_at.free"))
+        free_below(F.transform("_taken", lambda p: p - F.col("_block") * width)), F.col("_r") - F.col("_at.free"))
     item = (
         F.when(F.col("_taken").isNotNull(), F.col("_block") * width + inside)
         .when(F.col("_at").isNull(), F.col("_r"))

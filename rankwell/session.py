@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import rankwell
+
+# Functions that run in tasks travel with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(rankwell)
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",

@@ -74,14 +74,16 @@ def _paths(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 def _parse(pieces: DataFrame, schema: T.StructType) -> DataFrame:
-    """Whole members may hold an array, one object, or lines after all."""
-    trimmed = F.ltrim(F.col("piece"))
-    is_array = F.col("whole") & trimmed.startswith("[")
-    as_text = T.ArrayType(T.StringType())
-    split_lines = F.when(F.get_json_object("piece", "$").isNotNull(), F.array("piece")).otherwise(
-        F.split("piece", r"\r?\n"))
-    objects = F.when(is_array, F.from_json("piece", as_text)).when(F.col("whole"), split_lines).otherwise(
-        F.array("piece"))
+    """Whole members hold an array, one object over several lines, or an object per line."""
+    is_array = F.ltrim(F.col("piece")).startswith("[")
+    first_line = F.regexp_extract("piece", r"^\s*([^\r\n]*)", 1)
+    by_line = F.get_json_object(first_line, "$").isNotNull()
+    objects = (
+        F.when(~F.col("whole"), F.array("piece"))
+        .when(is_array, F.from_json("piece", T.ArrayType(T.StringType())))
+        .when(by_line, F.split("piece", r"\r?\n"))
+        .otherwise(F.array("piece"))
+    )
     return parse_review_lines(
         pieces.select("archive", "member", F.explode(objects).alias("object")), "object", schema)
 
