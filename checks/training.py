@@ -119,7 +119,7 @@ def next_items(spark, folder):
 @query("h3_history_length_stats", """select quantile_cont(n, 0.5) as p50, round(quantile_cont(n, 0.95), 6) as p95, max(n) as longest
        from (select count(*) as n from train group by user_id)""")
 def lengths(spark, folder):
-    return sequences.history_length_stats(sequences.user_sequences(_train(spark, folder), 1_000_000))
+    return sequences.history_length_stats(_train(spark, folder))
 
 
 @query("h4_previous_item", """select event_id, user_id, item_id, coalesce(lag(item_id) over (partition by user_id order by ts, event_id), -1) as prev_item

@@ -18,8 +18,8 @@ from rankwell.functions.vectors import dot, hadamard
 from rankwell.operators.joins import lookup_vectors
 from rankwell.scratch import staged
 
-# Users with more items than this are handled block by block instead of with one array.
-ARRAY_LIMIT = 1024
+# Users with more items than this are looked up in a table instead of with one array per row.
+ARRAY_LIMIT = 256
 
 
 def draw_unseen(rows: DataFrame, positives: DataFrame, n_items: int, first: int, last: int, seed: int,
@@ -62,41 +62,40 @@ def _draw_with_array(rows, positives, n_items, first, last, seed, key, out, inde
 
 
 def _draw_by_blocks(rows, positives, n_items, first, last, seed, key, out, index) -> DataFrame:
-    """For users with very many items: the id range is cut in about sqrt(n_items) blocks.
+    """For users with very many items: a lookup table instead of an array per row.
 
-    A first lookup finds the block of a draw from the user's block totals, a second one the item
-    inside it.  Both arrays are bounded by the square root of the catalogue.
+    The table says, for each user and each stretch of about sqrt(n_items) draws, how many taken items
+    come before it and which ones fall into it.  A draw finds its line by (user, stretch), so a user
+    with very many rows is spread over as many keys, and no row carries an array through a shuffle.
     """
     width = max(1, math.isqrt(n_items))
+    earlier = lambda order: Window.partitionBy("user_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    # How many free ids lie below each taken one: its id minus its place among the user's taken ids.
     blocks = positives.groupBy("user_id", F.floor(F.col("item_id") / width).alias("_block")).agg(
         F.array_sort(F.collect_set("item_id")).alias("_taken"))
-    before = Window.partitionBy("user_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     placed = staged(blocks.withColumn("_n", F.size("_taken").cast("long")).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "blocks")
-    layout = placed.groupBy("user_id").agg(
-        F.array_sort(F.collect_list(F.struct(
-            (F.col("_block") * width - F.col("_before")).alias("free"), "_block", "_before", "_n"))).alias("_layout"),
-        F.sum("_n").alias("_n_pos"),
-    )
-    drawn = (
-        _spread(rows.join(layout, "user_id"), key)
-        .select(*rows.columns, "_layout", "_n_pos",
-                F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias(index))
-        .withColumn("_r", draw_below(F.lit(n_items) - F.col("_n_pos"), *[F.col(k) for k in key], F.col(index), seed))
-        .where(F.col("_r").isNotNull())
-        .withColumn("_at", F.try_element_at(F.filter("_layout", lambda b: b["free"] <= F.col("_r")), F.lit(-1)))
-        .select(*rows.columns, index, "_r", "_at", F.when(
-            F.col("_r") - F.col("_at.free") < F.lit(width) - F.col("_at._n"), F.col("_at._block")).alias("_block"))
-    )
-    inside = unseen_item(
-        free_below(F.transform("_taken", lambda p: p - F.col("_block") * width)), F.col("_r") - F.col("_at.free"))
-    item = (
-        F.when(F.col("_taken").isNotNull(), F.col("_block") * width + inside)
-        .when(F.col("_at").isNull(), F.col("_r"))
-        .otherwise(F.col("_r") + F.col("_at._before") + F.col("_at._n"))
-    )
-    taken = placed.select("user_id", "_block", "_taken")
-    return drawn.join(taken, ["user_id", "_block"], "left").select(*rows.columns, index, item.cast("long").alias(out))
+        "_before", F.coalesce(F.sum("_n").over(earlier("_block")), F.lit(0))), "blocks")
+    free = placed.select("user_id", "_before", F.posexplode("_taken").alias("_i", "_item")).select(
+        "user_id", (F.col("_item") - F.col("_before") - F.col("_i")).alias("_f"))
+    # Neighbouring taken ids have the same count; together they are one entry.
+    runs = free.groupBy("user_id", "_f").agg(F.count("*").alias("_n"))
+    lists = runs.groupBy("user_id", F.floor(F.col("_f") / width).alias("_stretch")).agg(
+        F.array_sort(F.collect_list(F.struct("_f", "_n"))).alias("_runs"), F.sum("_n").alias("_in"))
+    sizes = placed.groupBy("user_id").agg((F.lit(n_items) - F.sum("_n")).alias("_free"))
+    stretches = sizes.where(F.col("_free") > 0).select("user_id", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("_free") - 1) / width))).alias("_stretch"))
+    table = stretches.join(lists, ["user_id", "_stretch"], "left").select(
+        "user_id", "_stretch", "_runs", F.coalesce(F.sum("_in").over(earlier("_stretch")), F.lit(0)).alias("_before"))
+
+    draws = F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))
+    drawn = _spread(rows.join(sizes, "user_id"), key).select(*rows.columns, "_free", F.explode(draws).alias(index)).withColumn(
+        "_r", draw_below(F.col("_free"), *[F.col(k) for k in key], F.col(index), seed)).where(F.col("_r").isNotNull())
+    here = F.aggregate(
+        F.coalesce("_runs", F.array().cast("array<struct<_f:bigint,_n:bigint>>")), F.lit(0).cast("long"),
+        lambda acc, run: acc + F.when(run["_f"] <= F.col("_r"), run["_n"]).otherwise(0))
+    return drawn.withColumn("_stretch", F.floor(F.col("_r") / width)).join(table, ["user_id", "_stretch"]).select(
+        *rows.columns, index, (F.col("_r") + F.col("_before") + here).cast("long").alias(out))
 
 
 def bpr_triples(train: DataFrame, n_items: int, m: int = 1, seed: int = 42, key: str = "row_key",
