@@ -184,7 +184,8 @@ def regressors(spark, folder):
     train = rows.where(F.col("split") == "train")
     models = aspects.aspect_regressors(train, "embedding")
     hats = aspects.predict_aspects(rows.where(F.col("split") == "test"), models, "embedding")
-    return hats.select("row_key", *[f"{a}_hat" for a in S.VECTOR_ASPECTS])
+    scored = aspects.decomposed_score(hats, aspects.user_aspect_weights(train))
+    return scored.select("row_key", *[f"{a}_hat" for a in S.VECTOR_ASPECTS], "score")
 
 
 _LOGITS = "select user_id, [" + ", ".join(f"coalesce(covar_samp({a}, rating), 0)" for a in S.VECTOR_ASPECTS) + \

@@ -103,7 +103,8 @@ def best_weights(results: DataFrame, metric: str = "ndcg_10") -> DataFrame:
 def evaluate_blend(test: DataFrame, best: DataFrame, columns: list[str], cutoffs: list[int] = CUTOFFS) -> DataFrame:
     """Metrics on `test` of the winning combination (one row, read as a scalar)."""
     won = best.select(F.struct(*[F.col(f"w_{c}") for c in columns])).scalar()
-    mixed = test.withColumn("blend", weighted_sum(columns, [won[f"w_{c}"] for c in columns]))
+    mixed = test.withColumn("_w", won).withColumn(
+        "blend", weighted_sum(columns, [F.col(f"_w.w_{c}") for c in columns]))
     return evaluate_ranking(mixed, "blend", cutoffs)
 
 

@@ -8,6 +8,7 @@ at most (number of tiles)^2 rows to the shuffle instead of d^2, and no group hol
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +74,9 @@ def item_cooccurrence(pairs: DataFrame, weight: str | None = None, tile: int = T
         F.max("item_id") + 1, F.approx_count_distinct("user_id")).first()
     if not n_items:
         return pairs.sparkSession.createDataFrame([], "item_a long, item_b long, dot double")
-    tiles = -(-n_items // tile)
+    # Enough tile pairs for every core, with at least 64 items in a tile.
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    tiles = max(-(-n_items // tile), min(math.isqrt(2 * cores) + 1, -(-n_items // 64)))
     width = -(-n_items // tiles)
     groups = -(-n_users // users_per_group)
 
@@ -102,7 +105,7 @@ def item_cooccurrence(pairs: DataFrame, weight: str | None = None, tile: int = T
                 [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(block[cell])],
                 ["item_a", "item_b", "dot"])
 
-    n_tasks = min(tiles * (tiles + 1) // 2 * groups, 16 * pairs.sparkSession.sparkContext.defaultParallelism)
+    n_tasks = min(tiles * (tiles + 1) // 2 * groups, 16 * cores)
     sums = joined.repartition(max(n_tasks, 1), "ta", "tb", "part").groupBy("ta", "tb", "part").applyInArrow(
         multiply, "item_a long, item_b long, dot double")
     if groups == 1:

@@ -104,16 +104,16 @@ def fit_calibration(val: DataFrame, score: str = "score", truth: str = "rating")
 
 def apply_calibration(rows: DataFrame, line: DataFrame, score: str = "score", out: str = "predicted") -> DataFrame:
     """Ratings within 1..5 from scores and a fitted line (one row, read as a scalar)."""
-    fitted = line.select(F.struct("a", "b")).scalar()
-    return rows.withColumn(out, S.clip(fitted["a"] * S.finite_or_zero(score) + fitted["b"]))
+    fitted = rows.withColumn("_line", line.select(F.struct("a", "b")).scalar())
+    return fitted.withColumn(out, S.clip(F.col("_line.a") * S.finite_or_zero(score) + F.col("_line.b"))).drop("_line")
 
 
 def evaluate_calibrated(val: DataFrame, test: DataFrame, score: str = "score", truth: str = "rating") -> DataFrame:
     """Errors on `test` of the line fitted on `val`, with the line."""
     line = fit_calibration(val, score, truth)
     errors = rating_errors(apply_calibration(test, line, score), "predicted", truth)
-    fitted = line.select(F.struct("a", "b")).scalar()
-    return errors.select("rmse", "mae", "n", fitted["a"].alias("a"), fitted["b"].alias("b"))
+    with_line = errors.withColumn("_line", line.select(F.struct("a", "b")).scalar())
+    return with_line.select("rmse", "mae", "n", F.col("_line.a").alias("a"), F.col("_line.b").alias("b"))
 
 
 def calibrate_positives(val: DataFrame, val_rows: DataFrame, test: DataFrame, test_rows: DataFrame,

@@ -154,10 +154,10 @@ def profile_report(df: DataFrame, words: str | None = None) -> DataFrame:
         median, F.sum(F.when(F.col("reviews") < 5, F.col("n")).otherwise(0)).alias("below_five"),
         F.max("reviews").alias("most"))).scalar()
     items = count_of_counts(df, "item_id").agg(median).scalar()
-    return totals.select(
+    return totals.withColumn("_users", users).select(
         "n_total", "n_users", "n_items", "sparsity", "per_user", "per_item",
-        users["median"].alias("median_per_user"), items.alias("median_per_item"),
-        users["below_five"].alias("users_below_five"), users["most"].alias("most_per_user"),
+        F.col("_users.median").alias("median_per_user"), items.alias("median_per_item"),
+        F.col("_users.below_five").alias("users_below_five"), F.col("_users.most").alias("most_per_user"),
         "mean_rating", "mean_words",
     )
 

@@ -92,16 +92,23 @@ def test_tar(spark, tmp_path, name, mode):
 
 def test_discover(spark, tmp_path):
     folder = tmp_path / "data"
-    (folder / "sub").mkdir(parents=True)
-    (folder / "sub" / "s.json").write_text("{}")
+    names = lambda found: [p.rstrip("/").rsplit("/", 1)[1] for p in found.paths]
+    (folder / "sub" / "deeper").mkdir(parents=True)
+    (folder / "sub" / "s.json").write_text(json.dumps(GOOD))
+    (folder / "sub" / "deeper" / "t.json").write_text(json.dumps(GOOD))
     found = reviews.discover_source(spark, str(folder))
-    assert found.kind == "json_files" and [p.rsplit("/", 1)[1] for p in found.paths] == ["s.json"]
+    assert (found.kind, names(found), found.n_found) == ("json_files", ["sub"], 1)
+    assert reviews.read_source(spark, found).count() == 3
     for n in ("b.txt", "a.jsonl", "c.csv"):
-        (folder / n).write_text("{}")
+        (folder / n).write_text(LINES)
     found = reviews.discover_source(spark, str(folder), 1)
-    assert [p.rsplit("/", 1)[1] for p in found.paths] == ["a.jsonl"] and found.n_found == 2
+    assert names(found) == ["a.jsonl"] and found.n_found == 2
+    assert reviews.read_source(spark, found).count() == 8
+    found = reviews.discover_source(spark, str(folder))
+    assert names(found) == ["data"] and reviews.read_source(spark, found).count() == 16
     write_zip(folder / "z.zip")
-    assert reviews.discover_source(spark, str(folder)).kind == "archive"
+    found = reviews.discover_source(spark, str(folder))
+    assert found.kind == "archive" and reviews.read_source(spark, found).count() == sum(EXPECTED.values())
     (tmp_path / "none").mkdir()
     assert reviews.discover_source(spark, str(tmp_path / "none")).kind is None
 
