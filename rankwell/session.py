@@ -17,6 +17,8 @@ DEFAULTS = {
     # A join partition is split once it is twice the median and above 64 MB, so that one hot user
     # or item is shared by several tasks.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # ... even where the split costs another shuffle after the join.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2.0",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
