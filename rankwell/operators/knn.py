@@ -203,11 +203,12 @@ def itemknn_rating(pairs: DataFrame, neighbours: DataFrame, train: DataFrame, ou
 
 
 def itemknn_recommend(users: DataFrame, neighbours: DataFrame, history: DataFrame, k: int = 10,
-                      without_seen: bool = True) -> DataFrame:
+                      without_seen: bool = True, fill_from: int = 0) -> DataFrame:
     """The `k` best items of each user: (user_id, item_id, score, rank), ties by id.
 
     Scores add up over the *history's* neighbour lists, so the work is k rows per interaction.  Items
-    with score zero are not listed.
+    with score zero are not listed, unless `fill_from`, the number of items, is given: then they fill
+    lists that are too short, smallest ids first.
     """
     past = history.join(users.select("user_id").distinct(), "user_id", "left_semi")
     lists = neighbours.select("item_id", "neighbour", "sim")
@@ -216,4 +217,29 @@ def itemknn_recommend(users: DataFrame, neighbours: DataFrame, history: DataFram
     if without_seen:
         scored = exclude_seen(scored, past)
     best = Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")
-    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+    return ranked if fill_from <= 0 else _filled(users, ranked, past, scored, k, without_seen, fill_from)
+
+
+def _filled(users, ranked, past, scored, k, without_seen, n_items) -> DataFrame:
+    """Short lists continued with unlisted items.
+
+    Of the first (taken + k) ids at least k are free, so no more than those are looked at per user.
+    """
+    sizes = ranked.groupBy("user_id").agg(F.count("*").alias("_listed"))
+    short = users.select("user_id").distinct().join(sizes, "user_id", "left").select(
+        "user_id", F.coalesce("_listed", F.lit(0)).alias("_listed")).where(F.col("_listed") < k)
+    taken = scored.select("user_id", "item_id")
+    if without_seen:
+        taken = taken.unionByName(past.select("user_id", "item_id"))
+    taken = staged(taken.join(short, "user_id", "left_semi").distinct(), "taken")
+    counts = taken.groupBy("user_id").agg(F.count("*").alias("_taken"))
+    upto = F.least(F.coalesce("_taken", F.lit(0)) + k, F.lit(n_items).cast("long")) - 1
+    free = short.join(counts, "user_id", "left").select(
+        "user_id", "_listed", F.explode(F.sequence(F.lit(0).cast("long"), upto)).alias("item_id")).join(
+        taken, ["user_id", "item_id"], "left_anti")
+    order = Window.partitionBy("user_id").orderBy("item_id")
+    more = free.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).where(
+        F.col("_listed") + F.col("_n") <= k)
+    return ranked.unionByName(more.select(
+        "user_id", "item_id", F.lit(0.0).alias("score"), (F.col("_listed") + F.col("_n")).cast("long").alias("rank")))

@@ -114,6 +114,27 @@ def test_recommendations_use_the_history_side_lists(spark):
             assert [i for _, i in sorted(got.get(u, []))] == best
 
 
+def test_short_lists_are_filled(spark):
+    # User 9 is known to nobody, user 0 has all items but one.
+    data = [(0, i, 1.0) for i in range(7)] + [(1, 0, 2.0), (1, 3, 1.0), (2, 5, 1.0)]
+    train = frame(spark, data)
+    users = spark.createDataFrame([(0,), (1,), (2,), (9,)], "user_id long")
+    lists = knn.itemknn_fit(train, 2)
+    history = core.sum_pairs(train)
+    plain, full = {}, {}
+    for out, fill in ((plain, 0), (full, 8)):
+        for r in knn.itemknn_recommend(users, lists, history, 4, fill_from=fill).collect():
+            out.setdefault(r.user_id, []).append((r["rank"], r.item_id, r.score))
+    seen = {u: {i for v, i, _ in data if v == u} for u in (0, 1, 2, 9)}
+    for u in (0, 1, 2, 9):
+        got = sorted(full[u])
+        listed = sorted(plain.get(u, []))
+        assert got[:len(listed)] == listed
+        rest = [i for i in range(8) if i not in seen[u] and i not in {x[1] for x in listed}][:4 - len(listed)]
+        assert [(r, i) for r, i, _ in got[len(listed):]] == [(len(listed) + 1 + n, i) for n, i in enumerate(rest)]
+    assert [i for _, i, _ in sorted(full[0])] == [7] and len(full[9]) == 4
+
+
 def test_rating_prediction(spark):
     data = interactions(6)
     train = frame(spark, data)
