@@ -31,7 +31,8 @@ _OPEN = "array<struct<unit:bigint,p:double>>"
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\n\\x0b\\f\\r]+")), F.lit(0)).cast("long")
+    inner = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(F.coalesce(inner, F.lit("")) == "", 0).otherwise(F.size(F.split(inner, "[ \\t\\n\\x0b\\f\\r]+"))).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -95,7 +96,8 @@ def pivotal_rounding(units: DataFrame) -> DataFrame:
     """(unit, up) with up 0 or 1 for `units` (unit, grp, size, p, n): open fractions p, n of them in the group.
 
     `unit` is unique.  Each level deals the open units of a group to blocks by their hash and sorts a
-    block by size, so that units of similar size meet; closed ones are written, open ones go on.
+    block by size, largest first: units of similar size meet, and what stays open tends to be small.  Closed
+    ones are written, open ones go on.
     """
     closed: list[DataFrame] = []
     level = 0
@@ -109,7 +111,7 @@ def pivotal_rounding(units: DataFrame) -> DataFrame:
             break
         blocks = F.ceil(F.col("n") / BLOCK).cast("long")
         dealt = units.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "unit"), blocks)).groupBy("grp", "block").agg(
-            F.sort_array(F.collect_list(F.struct("size", "unit", "p"))).alias("docs"), F.max(blocks).alias("n"))
+            F.sort_array(F.collect_list(F.struct("size", "unit", "p")), asc=False).alias("docs"), F.max(blocks).alias("n"))
         done = staged(dealt.select("grp", "n", _paired(level).alias("r")), f"level{level}")
         closed.append(done.select(F.explode("r.closed").alias("c")).select("c.unit", F.col("c.p").cast("long").alias("up")))
         units = done.select("r.unit", "grp", "r.size", "r.p", "n")

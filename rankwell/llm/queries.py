@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell.llm import decontamination, language, licenses, mixing, ngram_join, quality, token_files, toxicity
+from rankwell.llm import chat, decontamination, language, licenses, mixing, ngram_join, quality, repeats, token_files, toxicity
 from rankwell.llm.shared import table
 from rankwell.scratch import scratch_path
 
@@ -35,6 +35,11 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@_query("op3_remove_repeats")
+def remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 @_query("op4_license_scan")
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
@@ -66,6 +71,18 @@ def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@_query("op9_chat_format")
+def chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    return chat.formatted_digests(rows.unionByName(extra))
+
+
 @_query("op10_quality_rules", quality.quality_sql())
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, folder, "documents"))
