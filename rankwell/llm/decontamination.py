@@ -1,7 +1,7 @@
 """Benchmark decontamination on templates: numbers, names and units become typed placeholders.
 
-A text is turned into tokens; a number, a unit after a number, and a capitalised word inside a sentence
-keep their value but count as a placeholder of their type.  Windows of `n` template tokens are hashed and
+A text is turned into tokens; a number, a unit after a number, and a word inside a sentence
+that starts with a capital A-Z keep their value but count as a placeholder of their type.  Windows of `n` template tokens are hashed and
 joined with the windows of the benchmark.  A document that holds at least `percent` of an item's windows
 is a candidate; on the alignment with the most windows the values behind the placeholders must map one to
 one (equal values to equal values), which tells a re-parameterised question from a chance template.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.llm.shared import narrow
+from rankwell.llm.shared import narrow, one_of
 from rankwell.scratch import staged
 
 #: Rows of benchmark windows (20 bytes each) up to which they are broadcast.
@@ -28,43 +28,66 @@ BROADCAST_WINDOWS = 500_000
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days",
          "years", "metres", "meters", "miles", "feet", "inches", "pounds", "ounces", "grams", "kilograms", "litres", "liters",
          "dollars", "euros", "cents", "percent", "degrees", "mph", "kmh", "hz", "kb", "mb", "gb", "tb"]
-_TOKEN = "[.!?:\\n]+|[\\p{L}\\p{M}]+|[0-9]+(?:[.,][0-9]+)*"
+# Characters that end a sentence, and the other ASCII characters between words.
+_MARKS = [".", "!", "?", ":", "\n"]
+_GAP = "".join(map(chr, range(33))).replace("\n", "") + "\"#$%&'()*+,-/;<=>@[\\]^_`{|}~"
+_CAPITALS, _SMALL, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _NAME, _NUMBER, _UNIT = "\x01", "\x02", "\x03"
+#: Holds wherever a text has a number or a capital (A-Z) inside a sentence; other texts have no slot.
+_HAS_SLOT = (one_of(_DIGITS) + "|" + one_of(".!?:" + "".join(map(chr, range(33))), True)
+             + one_of(".!?:\n" + _CAPITALS + _SMALL, True) + "+" + one_of(_CAPITALS))
+
+
+def has_slot(text: Column) -> Column:
+    return F.coalesce(F.rlike(text, F.lit(_HAS_SLOT)), F.lit(False))
 
 
 def template_tokens(text: Column) -> Column:
-    """Lower-cased tokens; a slot's value stands behind one of three control characters, its type."""
-    raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
+    """Lower-cased tokens; a slot's value stands behind one of three control characters, its type.
+
+    Texts without a slot, which are most, are cut at everything that is no word.
+    """
+    text = F.coalesce(text, F.lit(""))
+    marks = ["", *_MARKS]
 
     def typed(raw: Column) -> Column:
         def one(t: Column, i: Column) -> Column:
             before = F.get(raw, i - 1)
-            low = F.lower(t)
-            first = F.substring(t, 1, 1)
+            low, first = F.lower(t), F.substring(t, 1, 1)
+            name = first.between("A", "Z") & (i > 0) & ~before.isin(*marks) & ~F.substring(t, 2, 1).between("A", "Z")
             return (
-                F.when(first.isin(".", "!", "?", ":", "\n"), "")
-                .when((first >= "0") & (first <= "9"), F.concat(F.lit(_NUMBER), t))
-                .when((t != low) & (first != F.lower(first)) & (i > 0) & (F.substring(t, 2, 1) == F.lower(F.substring(t, 2, 1)))
-                      & ~F.substring(before, 1, 1).isin(".", "!", "?", ":", "\n"), F.concat(F.lit(_NAME), low))
+                F.when(t.isin(*marks), "")
+                .when(first.between("0", "9"), F.concat(F.lit(_NUMBER), t))
+                .when(name, F.concat(F.lit(_NAME), low))
                 .when(F.substring(before, 1, 1).between("0", "9") & low.isin(*UNITS), F.concat(F.lit(_UNIT), low))
                 .otherwise(low))
-        return F.filter(F.transform(raw, one), lambda x: x != "")
+        return F.transform(raw, one)
 
-    # The array is bound to a name once, so that the look back does not extract it again.
-    return F.get(F.transform(F.array(raw), typed), F.lit(0))
+    raw = F.split(text, f"{one_of(_GAP)}+|(?<=[.!?:\\n])|(?=[.!?:\\n])")
+    # The array is bound to a name once, so that the look back does not cut the text again.
+    with_slots = F.get(F.transform(F.array(raw), typed), F.lit(0))
+    plain = F.split(F.lower(text), one_of(_GAP + ".!?:\n") + "+")
+    return F.filter(F.when(has_slot(text), with_slots).otherwise(plain), lambda x: x != "")
 
 
 def template_windows(tokens: DataFrame, n: int, literal: int, *keys: str) -> DataFrame:
     """(keys, at, window): hashes of the windows of `tokens` with enough plain tokens."""
-    marks = tokens.select(*keys, F.transform("tokens", lambda x: F.xxhash64(F.when(x < "\x04", F.substring(x, 1, 1)).otherwise(x))).alias("h"),
-                          F.transform("tokens", lambda x: (x >= "\x04").cast("int")).alias("plain"))
+    slots = F.exists("tokens", lambda x: x < "\x04")
+    marks = tokens.select(
+        *keys, F.transform("tokens", lambda x: F.xxhash64(F.when(x < "\x04", F.substring(x, 1, 1)).otherwise(x))).alias("h"),
+        F.when(slots, F.transform("tokens", lambda x: (x >= "\x04").cast("int"))).alias("plain"))
 
     def window(i: Column) -> Column:
+        return F.xxhash64(*[F.get("h", i + k) for k in range(n)])
+
+    def checked(i: Column) -> Column:
         enough = sum((F.get("plain", i + k) for k in range(1, n)), F.get("plain", i)) >= literal
-        return F.when(enough, F.xxhash64(*[F.get("h", i + k) for k in range(n)]))
+        return F.when(enough, window(i))
 
-    places = F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(0), F.size("h") - n), window))
-    return marks.select(*keys, F.posexplode(places).alias("at", "window")).where("window is not null")
+    places = F.sequence(F.lit(0), F.size("h") - n)
+    windows = F.when(F.size("h") < n, F.lit(None)).when(F.col("plain").isNull(), F.transform(places, window)).otherwise(
+        F.transform(places, checked))
+    return marks.select(*keys, F.posexplode(windows).alias("at", "window")).where("window is not null")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80, literal: int = 3) -> DataFrame:
@@ -114,16 +137,16 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options: int) -
 def contaminated_sql(n: int = 5, percent: int = 80, literal: int = 3) -> str:
     """DuckDB SQL for the rows of `contaminated`."""
     units = ", ".join(f"'{u}'" for u in UNITS)
-    mark = "('.', '!', '?', ':', chr(10))"
+    mark = "('', '.', '!', '?', ':', chr(10))"
 
     def tokens(table: str, key: str) -> str:
-        return f"""{key}_raw as (select {key}, text, regexp_extract_all(coalesce(text, ''),
-          '[.!?:\\n]+|[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*') as r from (select distinct {key}, text from {table} where {key} is not null)),
+        return f"""{key}_raw as (select {key}, text, string_split_regex(regexp_replace(coalesce(text, ''), '([.!?:\\n])', ' \\1 ', 'g'),
+          '{one_of(_GAP)}+') as r from (select distinct {key}, text from {table} where {key} is not null)),
         {key}_one as (select {key}, text, unnest(r) as t, unnest(list_concat([null], r)[1:len(r)]) as b,
           unnest(generate_series(1, len(r))) as i from {key}_raw),
-        {key}_typed as (select {key}, text, i, case when t[1] in {mark} then null
+        {key}_typed as (select {key}, text, i, case when t in {mark} then null
           when t[1] between '0' and '9' then chr(2) || t
-          when t[1] <> lower(t[1]) and i > 1 and t[2] = lower(t[2]) and b[1] not in {mark} then chr(1) || lower(t)
+          when t[1] between 'A' and 'Z' and i > 1 and t[2] not between 'A' and 'Z' and b not in {mark} then chr(1) || lower(t)
           when b[1] between '0' and '9' and lower(t) in ({units}) then chr(3) || lower(t) else lower(t) end as w from {key}_one),
         {key}_tok as (select {key}, text, w, row_number() over (partition by {key}, text order by i) as i from {key}_typed where w is not null),
         {key}_win as (select * from (select {key}, text, i, count(*) over o as c, list(case when w < chr(4) then w[1] else w end) over o as g,

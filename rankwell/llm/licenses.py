@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankwell.llm.shared import narrow
+from rankwell.llm.shared import narrow, one_of
 
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -109,7 +109,7 @@ def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(signature_rules(), "rule int, label string, keyword string, priority int, pattern string")
 
 
-_GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_GAPS = one_of("".join(chr(c) for c in range(128) if not chr(c).isalnum() or chr(c).isupper())) + "+"
 _BASE_ANY = f" (?:{'|'.join(BASE)})(?= )"
 
 def _gate(pad: Column) -> Column:
@@ -139,9 +139,11 @@ def _scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Lower-casing beyond A-Z touches no character of a base phrase and no word boundary.
     low = F.lower(F.coalesce("text", F.lit("")))
     padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, _GAPS, " ")), F.lit(" "))
-    rows = narrow(docs, {"doc_id": "long", "text": "string"}).select("doc_id", padded.alias("pad"))
-    rows = rows.select("doc_id", F.when(F.col("pad") == "  ", 0).otherwise(_words(F.col("pad")) - 1).cast("long").alias("n_words"),
-                       F.when(_gate(F.col("pad")), F.col("pad")).alias("pad"))
+    # Bound to a name, so that the replacement runs once and not for every sign.
+    reduced = F.get(F.transform(F.array(padded), lambda p: F.struct(
+        F.when(p == "  ", 0).otherwise(_words(p) - 1).cast("long").alias("n_words"), F.when(_gate(p), p).alias("pad"))), F.lit(0))
+    rows = narrow(docs, {"doc_id": "long", "text": "string"}).select("doc_id", reduced.alias("r")).select(
+        "doc_id", "r.n_words", "r.pad")
     rows = rows.withColumn("key", F.xxhash64("pad"))
     n_base = F.when(F.col("pad").isNotNull(), F.regexp_count("pad", F.lit(_BASE_ANY))).otherwise(0).cast("long")
     found = [F.when(F.contains("pad", F.lit(f" {p} ")), label) for p, label in BASE.items()]

@@ -18,6 +18,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def one_of(characters: str, negated: bool = False) -> str:
+    """A class of a regular expression that names every character by itself.
+
+    The JVM tests such a class with one table; ranges are tested one after the other.
+    """
+    return "[" + "^" * negated + "".join(f"\\x{ord(c):02X}" for c in characters) + "]"
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for rows whose labels no model may see: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
