@@ -113,10 +113,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int
     candidates = staged(
         best.join(sizes, ["item_id", "item_text"]).where(f"100 * n_found >= {percent} * n_windows").select(
             "doc_id", "item_id", "item_text", "n_windows", "n_found", (-F.col("_b.col2")).alias("shift")), "candidates")
-    aligned = (
-        candidates.join(items.withColumnRenamed("tokens", "asked"), ["item_id", "item_text"])
-        .join(docs, "doc_id")
-        .withColumn("tokens", template_tokens(F.col("text"))).drop("text"))
+    # Only the texts of candidates are read again; their ids (8 bytes each) are broadcast up to a checked number.
+    ids = candidates.select("doc_id").distinct()
+    ids = F.broadcast(ids) if candidates.count() <= BROADCAST_WINDOWS else ids
+    texts = staged(docs.join(ids, "doc_id", "left_semi").select(
+        "doc_id", template_tokens(F.col("text")).alias("tokens")), "texts")
+    aligned = candidates.join(items.withColumnRenamed("tokens", "asked"), ["item_id", "item_text"]).join(texts, "doc_id")
     pairs = F.filter(
         F.transform("asked", lambda a, i: F.struct(a.alias("a"), F.get("tokens", i + F.col("shift").cast("int")).alias("b"))),
         lambda s: (s["a"] < "\x04") & (s["b"] < "\x04") & (F.substring(s["a"], 1, 1) == F.substring(s["b"], 1, 1)))

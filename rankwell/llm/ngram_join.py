@@ -10,10 +10,10 @@ group is opened for another one only if the overlap of their unions allows a lin
 2. Equal sets become one node.  Nodes that agree in a pair of minima under two scrambled orders are
    compared with the smallest node of their bucket (one comparison per node and band); components of
    the links found are the groups.  Groups only save work: any partition gives the same result.
-3. The matrix has a row (token, group) per indexed token.  Groups that share tokens get the count of
-   them, a bound for the overlap of any member of the one with the other; where it falls short no
-   member can be linked.  For the groups left open the count per pair of nodes is bounded again, and
-   pairs that stay are compared on all tokens.
+3. The matrix has a row (token, group) per indexed token.  The place of a shared token in the order bounds
+   the overlap of any member of the one group with the other; where no shared token leaves room for a
+   link, the groups stay closed to each other.  For the groups left open the shared tokens per pair of
+   nodes are counted, which bounds the overlap again, and pairs that stay are compared on all tokens.
 4. Components of all links are the classes.  A pair inside one group is already connected and is
    never compared again, so a group of thousands of near copies costs its size, not its square.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.llm.components import components
-from rankwell.llm.shared import BLANK, chunks, cut, mix, narrow, utf8, word_hashes, word_spans  # noqa: F401
+from rankwell.llm.shared import chunks, cut, mix, narrow, utf8, word_hashes
 from rankwell.scratch import staged
 
 #: Most tokens of the list of frequent tokens (8 bytes each), which every task gets; fewer if fewer are frequent.
@@ -230,66 +230,63 @@ def _band_pairs(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per indexed token."""
+    """A row per indexed token; `room` is the size of the set from this token on."""
     for batch in batches:
         for low in range(0, batch.num_rows, 512):
             part = batch.slice(low, 512)
             tokens, starts = utf8(part.column("first"))
             times = np.diff(starts) // 8
+            place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            n = np.repeat(part.column("n").to_numpy(), times)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(tokens.tobytes(), np.int64)),
-                 *(pa.array(np.repeat(part.column(c).to_numpy(), times)) for c in ("node", "grp", "n", "low", "high"))],
-                names=["token", "node", "grp", "n", "low", "high"])
+                [pa.array(np.frombuffer(tokens.tobytes(), np.int64)), pa.array(n), pa.array((n - place).astype(np.int32)),
+                 *(pa.array(np.repeat(part.column(c).to_numpy(), times)) for c in ("node", "grp", "single"))],
+                names=["token", "n", "room", "node", "grp", "single"])
+
+
+_SPREAD = "token long, n int, room int, node long, grp long, single int"
 
 
 def token_group_matrix(rows: DataFrame) -> DataFrame:
-    """(token, grp, low, high): each group's token union, with the sizes of its smallest and largest member.
+    """(token, grp, low, high, room): each group's token union, with the sizes of its smallest and largest member
+    and the most tokens that a member has from this one on.
 
     Groups of one member need no aggregation; those of several are combined before the shuffle.
     """
-    many = rows.where("low < 0")
-    return rows.where("low >= 0").select("token", "grp", "low", "high").unionByName(
-        many.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    one = rows.where("single = 1").select("token", "grp", F.col("n").alias("low"), F.col("n").alias("high"), "room")
+    return one.unionByName(rows.where("single = 0").groupBy("token", "grp").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room")))
 
 
-def _bound(c: str, low_x: str, high_x: str, low_y: str, high_y: str, percent: int) -> str:
-    """Whether c shared indexed tokens leave room for a link of sets with these sizes (smallest, largest).
+def _matrix_pairs(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different groups that the bounds leave open.
 
-    Of the set whose last indexed token comes first, all indexed tokens but c are certainly missing in
-    the other, so the overlap is at most n - index_length(n) + c = ceil(t n) - 1 + c.
+    The first token, in the order, that two sets share bounds their overlap by what either has from it
+    on.  A group is opened for another if one of their shared tokens leaves room for a link.  Of the
+    nodes in open groups, the shared index tokens of each pair are counted: of the set whose last
+    indexed token comes first, all indexed tokens but those are missing in the other, so the overlap is
+    at most n - index_length(n) + count.
     """
-    most = f"(greatest({high_x}, {high_y}) * {percent} + 99) div 100 - 1 + {c}"
-    return (f"100 * {high_x} >= {percent} * {low_y} and 100 * {high_y} >= {percent} * {low_x} "
-            f"and {100 + percent} * ({most}) >= {percent} * ({low_x} + {low_y})")
-
-
-def _matrix_pairs(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different groups that the bounds leave open."""
     sized = nodes.join(groups, "node", "left").select(
         "node", "n", "first", F.coalesce("component", "node").alias("grp"),
-        # -1 marks a member of a group of several
-        F.when(F.col("component").isNull(), F.col("n")).otherwise(-1).alias("low"),
-        F.when(F.col("component").isNull(), F.col("n")).otherwise(-1).alias("high"))
-    rows = sized.mapInArrow(_spread, "token long, node long, grp long, n int, low int, high int")
-    matrix = token_group_matrix(rows)
-    x = matrix.select("token", *[F.col(c).alias(f"{c}_x") for c in ("grp", "low", "high")])
-    y = matrix.select("token", *[F.col(c).alias(f"{c}_y") for c in ("grp", "low", "high")])
-    open_groups = staged(
-        x.join(y, "token").where(f"grp_x < grp_y and 100 * high_x >= {percent} * low_y and 100 * high_y >= {percent} * low_x")
-        .groupBy("grp_x", "grp_y").agg(
-            F.count("*").alias("c"), F.min("low_x").alias("low_x"), F.max("high_x").alias("high_x"),
-            F.min("low_y").alias("low_y"), F.max("high_y").alias("high_y"))
-        .where(_bound("c", "low_x", "high_x", "low_y", "high_y", percent)).select("grp_x", "grp_y"), "open")
+        F.col("component").isNull().cast("int").alias("single"))
+    matrix = token_group_matrix(sized.mapInArrow(_spread, _SPREAD))
+    x = matrix.select("token", *[F.col(c).alias(f"{c}_x") for c in ("grp", "low", "high", "room")])
+    y = matrix.select("token", *[F.col(c).alias(f"{c}_y") for c in ("grp", "low", "high", "room")])
+    near = f"100 * high_x >= {percent} * low_y and 100 * high_y >= {percent} * low_x"
+    room = f"{100 + percent} * least(room_x, room_y) >= {percent} * (low_x + low_y)"
+    open_groups = staged(x.join(y, "token").where(f"grp_x < grp_y and {near} and {room}").select("grp_x", "grp_y").distinct(), "open")
     inside = sized.join(
         open_groups.select(F.explode(F.array("grp_x", "grp_y")).alias("grp")).distinct(), "grp", "left_semi")
-    few = staged(inside.select("node", "n", "first", "grp", "low", "high").mapInArrow(
-        _spread, "token long, node long, grp long, n int, low int, high int"), "opened")
+    few = staged(inside.select("node", "n", "first", "grp", "single").mapInArrow(_spread, _SPREAD), "opened")
     a = few.select("token", F.col("node").alias("a"), F.col("grp").alias("grp_x"), F.col("n").alias("n_a"))
     b = few.select("token", F.col("node").alias("b"), F.col("grp").alias("grp_y"), F.col("n").alias("n_b"))
+    most = f"(greatest(n_a, n_b) * {percent} + 99) div 100 - 1 + c"
     return (
         a.join(open_groups, "grp_x").join(b, ["token", "grp_y"])
+        .where(f"100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a")
         .groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-        .where(_bound("c", "n_a", "n_a", "n_b", "n_b", percent)).select("a", "b")
+        .where(f"{100 + percent} * ({most}) >= {percent} * (n_a + n_b)").select("a", "b")
     )
 
 
