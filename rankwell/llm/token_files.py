@@ -33,7 +33,7 @@ from rankwell.llm.shared import chunks, mix, narrow
 from rankwell.scratch import staged
 
 #: Text bytes per shard; a shard's ids take about two thirds of it.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 40 << 20
 #: Keys per bucket of the index, on average.
 BUCKET_KEYS = 1024
 #: Different words that a task remembers with their ids.
