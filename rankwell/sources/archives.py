@@ -8,9 +8,12 @@ can only be read front to back, so each is one streaming task.
 
 from __future__ import annotations
 
+import codecs
 import io
+import json
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 from typing import IO
 
@@ -22,8 +25,6 @@ from pyspark.sql import types as T
 
 from rankwell.sources.reviews import RAW_SCHEMA, parse_review_lines
 
-# Members above this many bytes are taken as JSON lines and streamed.
-LINES_ABOVE = 64 * 1024 * 1024
 _SUFFIXES = (".json", ".jsonl", ".txt")
 
 _MEMBERS = "archive string, member string, start long, size long"
@@ -44,16 +45,77 @@ def _lines(stream: IO[bytes]) -> Iterator[str]:
             continue
 
 
-def _pieces(archive: str, member: str, stream: IO[bytes], size: int) -> Iterator[tuple]:
-    """A JSON array or object as one piece, anything else or anything big line by line."""
-    if size > LINES_ABOVE or member.lower().endswith((".jsonl", ".txt")):
-        for line in _lines(stream):
-            yield archive, member, False, line
+def _elements(text: Iterator[str]) -> Iterator[str]:
+    """The elements of a JSON array as text, one at a time, whatever the size of the array."""
+    decoder, held, at, begun = json.JSONDecoder(), "", 0, False
+    text = iter(text)
+    while True:
+        while at < len(held) and (held[at].isspace() or (begun and held[at] == ",") or (not begun and held[at] == "[")):
+            begun = begun or held[at] == "["
+            at += 1
+        if at < len(held) and held[at] == "]":
+            return
+        try:
+            _, end = decoder.raw_decode(held, at)
+        except json.JSONDecodeError:
+            end = None
+        # A number or literal at the end of what is held may go on.
+        if end is None or end == len(held):
+            more = next(text, None)
+            if more is None:
+                raise ValueError("the array ends inside an element")
+            held, at = held[at:] + more, 0
+            continue
+        yield held[at:end]
+        at = end
+
+
+def _decoded(stream: IO[bytes], size: int = 1 << 20) -> Iterator[str]:
+    """Text in parts; a bad byte becomes a replacement character."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    while part := stream.read(size):
+        yield decoder.decode(part)
+    yield decoder.decode(b"", True)
+
+
+def _pieces(archive: str, member: str, stream: IO[bytes]) -> Iterator[tuple]:
+    """A JSON array element by element, lines of objects line by line, one object over several lines as a whole.
+
+    The content decides, not the name or the size: the first character that is no blank tells an array,
+    and a first line that is a value by itself tells lines.
+    """
+    stream = io.BufferedReader(stream) if isinstance(stream, io.RawIOBase) else stream
+    first = b""
+    while not first.strip():
+        first = stream.readline()
+        if not first:
+            return
+    rest = _Joined(first, stream)
+    if first.lstrip(b"\xef\xbb\xbf \t\r\n").startswith(b"["):
+        for element in _elements(_decoded(rest)):
+            yield archive, member, False, element
         return
     try:
-        yield archive, member, True, stream.read().decode("utf-8")
-    except UnicodeDecodeError:
-        return
+        json.loads(first)
+        by_line = True
+    except ValueError:
+        by_line = not first.lstrip().startswith(b"{") or member.lower().endswith(".jsonl")
+    if by_line:
+        yield from ((archive, member, False, line) for line in _lines(iter([first])))
+        yield from ((archive, member, False, line) for line in _lines(stream))
+    else:
+        yield archive, member, True, "".join(_decoded(rest))
+
+
+class _Joined:
+    """Bytes already read, followed by the rest of their stream."""
+
+    def __init__(self, first: bytes, rest: IO[bytes]):
+        self._first, self._rest = first, rest
+
+    def read(self, size: int) -> bytes:
+        out, self._first = self._first, b""
+        return out or self._rest.read(size)
 
 
 def _frames(rows: Iterator[tuple], columns: list[str], batch_bytes: int = 4_000_000) -> Iterator[pd.DataFrame]:
@@ -74,25 +136,16 @@ def _paths(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 def _parse(pieces: DataFrame, schema: T.StructType) -> DataFrame:
-    """Whole members hold an array, one object over several lines, or an object per line."""
-    is_array = F.ltrim(F.col("piece")).startswith("[")
-    first_line = F.regexp_extract("piece", r"^\s*([^\r\n]*)", 1)
-    by_line = F.get_json_object(first_line, "$").isNotNull()
-    objects = (
-        F.when(~F.col("whole"), F.array("piece"))
-        .when(is_array, F.from_json("piece", T.ArrayType(T.StringType())))
-        .when(by_line, F.split("piece", r"\r?\n"))
-        .otherwise(F.array("piece"))
-    )
-    return parse_review_lines(
-        pieces.select("archive", "member", F.explode(objects).alias("object")), "object", schema)
+    """Every piece holds one object."""
+    return parse_review_lines(pieces.select("archive", "member", F.col("piece").alias("object")), "object", schema)
 
 
 def read_reviews_zip(spark: SparkSession, path: str, max_reviews: int = 0, schema: T.StructType = RAW_SCHEMA,
-                     tasks: int | None = None) -> DataFrame:
+                     tasks: int | None = None, lenient: bool = False) -> DataFrame:
     """Reviews of all JSON members of the zip files at `path`, with `archive` and `member` columns.
 
-    Members that are no text are skipped.  `max_reviews` stops early (0 = all).
+    A member with a bad checksum or a broken array is an error.  `lenient` leaves such members out from
+    the fault on; `corrupt_members` lists them.  `max_reviews` stops early (0 = all).
     """
 
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,14 +164,36 @@ def read_reviews_zip(spark: SparkSession, path: str, max_reviews: int = 0, schem
                         for member in group["member"]:
                             try:
                                 with zipped.open(member) as stream:
-                                    yield from _pieces(archive, member, stream, zipped.getinfo(member).file_size)
-                            except zipfile.BadZipFile:
-                                continue
+                                    yield from _pieces(archive, member, stream)
+                            except (zipfile.BadZipFile, zlib.error, ValueError):
+                                if not lenient:
+                                    raise
         yield from _frames(rows(), ["archive", "member", "whole", "piece"])
 
     return _read_members(_paths(spark, path, "*.zip"), members, read, schema, max_reviews, tasks)
 
 
+def corrupt_members(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, member, fault) for every member of the zip files at `path` that cannot be read to its end."""
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for archive in frame["path"]:
+                found = []
+                with _open(archive) as handle, zipfile.ZipFile(handle) as zipped:
+                    for m in zipped.infolist():
+                        if not m.is_dir() and m.filename.lower().endswith(_SUFFIXES):
+                            try:
+                                with zipped.open(m) as stream:
+                                    for _ in _pieces(archive, m.filename, stream):
+                                        pass
+                            except (zipfile.BadZipFile, zlib.error, ValueError) as fault:
+                                found.append((archive, m.filename, str(fault)))
+                yield pd.DataFrame(found, columns=["archive", "member", "fault"])
+
+    return _one_task_each(_paths(spark, path, "*.zip")).mapInPandas(look, "archive string, member string, fault string")
+
+
 def read_reviews_tar(spark: SparkSession, path: str, max_reviews: int = 0, schema: T.StructType = RAW_SCHEMA,
                      tasks: int | None = None) -> DataFrame:
     """Reviews of all JSON members of the tar, tgz and tar.bz2 files at `path`."""
@@ -139,7 +214,7 @@ def read_reviews_tar(spark: SparkSession, path: str, max_reviews: int = 0, schem
                     with _open(m.archive) as handle:
                         handle.seek(m.start)
                         part = io.BufferedReader(_Window(handle, int(m.size)))
-                        yield from _pieces(m.archive, m.member, part, int(m.size))
+                        yield from _pieces(m.archive, m.member, part)
         yield from _frames(rows(), ["archive", "member", "whole", "piece"])
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +224,7 @@ def read_reviews_tar(spark: SparkSession, path: str, max_reviews: int = 0, schem
                     with _open(archive) as handle, tarfile.open(fileobj=handle, mode="r|*") as packed:
                         for m in packed:
                             if m.isfile() and m.name.lower().endswith(_SUFFIXES):
-                                yield from _pieces(archive, m.name, packed.extractfile(m), m.size)
+                                yield from _pieces(archive, m.name, packed.extractfile(m))
         yield from _frames(rows(), ["archive", "member", "whole", "piece"])
 
     plain = _read_members(_paths(spark, path, "*.tar"), members, read, schema, 0, tasks)

@@ -77,11 +77,51 @@ def test_zip(spark, tmp_path):
     assert archives.read_reviews_zip(spark, str(tmp_path), max_reviews=5).count() == 5
 
 
-def test_big_members_are_streamed(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(archives, "LINES_ABOVE", 200)
-    write_zip(tmp_path / "x.zip")
+def test_arrays_are_streamed_whatever_their_name_and_size(spark, tmp_path):
+    many = [{**json.loads(json.dumps(GOOD[0])), "title": "x" * 3000} for _ in range(1000)]
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("one_line.json", json.dumps(many))
+        z.writestr("array.txt", "\n " + json.dumps(many[:7], indent=1))
+        z.writestr("bad_byte.json", json.dumps(many[:3]).encode() .replace(b"xxx", b"\xffxx", 1))
+        z.writestr("empty.json", "")
     got = per_member(archives.read_reviews_zip(spark, str(tmp_path)))
-    assert got["d/lines.json"] == 8 and got["d/b.jsonl"] == 8
+    assert got == {"one_line.json": 1000, "array.txt": 7, "bad_byte.json": 3}
+
+
+def test_corrupt_members_are_an_error_or_a_row(spark, tmp_path):
+    path = tmp_path / "x.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("bad.json", json.dumps(GOOD))
+        z.writestr("good.json", json.dumps(GOOD))
+    raw = path.read_bytes()
+    at = raw.index(b"author")
+    path.write_bytes(raw[:at] + b"Xuthor" + raw[at + 6:])
+    with pytest.raises(Exception, match="CRC"):
+        archives.read_reviews_zip(spark, str(tmp_path)).count()
+    assert archives.read_reviews_zip(spark, str(tmp_path), lenient=True).where("member = 'good.json'").count() == len(GOOD)
+    assert [r.member for r in archives.corrupt_members(spark, str(tmp_path)).collect()] == ["bad.json"]
+
+
+def test_mixed_folder_keeps_every_row(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(GOOD))
+    (tmp_path / "b.jsonl").write_text(LINES)
+    found = reviews.discover_source(spark, str(tmp_path))
+    assert reviews.read_source(spark, found).count() == len(GOOD) + 8
+
+
+def test_all_archives_and_subfolders(spark, tmp_path):
+    for name in ("a.zip", "b.zip"):
+        write_zip(tmp_path / name)
+    write_tar(tmp_path / "c.tar", "w")
+    found = reviews.discover_source(spark, str(tmp_path))
+    assert found.n_found == 3 and reviews.read_source(spark, found).count() == 3 * sum(EXPECTED.values())
+    assert reviews.discover_source(spark, str(tmp_path), first_only=True).n_found == 1
+    deep = tmp_path / "deep"
+    for sub in ("x", "y"):
+        (deep / sub).mkdir(parents=True)
+        (deep / sub / "s.json").write_text(json.dumps(GOOD))
+    found = reviews.discover_source(spark, str(deep))
+    assert found.n_found == 2 and reviews.read_source(spark, found).count() == 2 * len(GOOD)
 
 
 @pytest.mark.parametrize("name,mode", [("x.tar", "w"), ("x.tgz", "w:gz"), ("x.tar.gz", "w:gz"), ("x.tar.bz2", "w:bz2")])
@@ -96,7 +136,7 @@ def test_discover(spark, tmp_path):
     (folder / "sub" / "deeper").mkdir(parents=True)
     (folder / "sub" / "s.json").write_text(json.dumps(GOOD))
     (folder / "sub" / "deeper" / "t.json").write_text(json.dumps(GOOD))
-    found = reviews.discover_source(spark, str(folder))
+    found = reviews.discover_source(spark, str(folder), first_only=True)
     assert (found.kind, names(found), found.n_found) == ("json_files", ["sub"], 1)
     assert reviews.read_source(spark, found).count() == 3
     for n in ("b.txt", "a.jsonl", "c.csv"):
