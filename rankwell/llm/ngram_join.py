@@ -12,8 +12,9 @@ group is opened for another one only if the overlap of their unions allows a lin
    the links found are the groups.  Groups only save work: any partition gives the same result.
 3. The matrix has a row (token, group) per indexed token.  The place of a shared token in the order bounds
    the overlap of any member of the one group with the other; where no shared token leaves room for a
-   link, the groups stay closed to each other.  For the groups left open the shared tokens per pair of
-   nodes are counted, which bounds the overlap again, and pairs that stay are compared on all tokens.
+   link, the groups stay closed to each other.  The nodes of groups left open stand in blocks of 64, and
+   pairs of blocks are counted by products of bits, which bounds the overlap of every pair of nodes
+   again; pairs that stay are compared on all tokens.
 4. Components of all links are the classes.  A pair inside one group is already connected and is
    never compared again, so a group of thousands of near copies costs its size, not its square.
 
@@ -240,54 +241,149 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.repeat(part.column("n").to_numpy(), times)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.frombuffer(tokens.tobytes(), np.int64)), pa.array(n), pa.array((n - place).astype(np.int32)),
-                 *(pa.array(np.repeat(part.column(c).to_numpy(), times)) for c in ("node", "grp", "single"))],
-                names=["token", "n", "room", "node", "grp", "single"])
-
-
-_SPREAD = "token long, n int, room int, node long, grp long, single int"
+                 *(pa.array(np.repeat(part.column(c).to_numpy(), times)) for c in ("grp", "many"))],
+                names=["token", "n", "room", "grp", "many"])
 
 
 def token_group_matrix(rows: DataFrame) -> DataFrame:
-    """(token, grp, low, high, room): each group's token union, with the sizes of its smallest and largest member
-    and the most tokens that a member has from this one on.
+    """(token, grp, many, low, high, room): each group's token union, with the number of its members, the sizes of its
+    smallest and largest member and the most tokens that a member has from this one on.
 
     Groups of one member need no aggregation; those of several are combined before the shuffle.
     """
-    one = rows.where("single = 1").select("token", "grp", F.col("n").alias("low"), F.col("n").alias("high"), "room")
-    return one.unionByName(rows.where("single = 0").groupBy("token", "grp").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room")))
+    one = rows.where("many = 1").select("token", "grp", "many", F.col("n").alias("low"), F.col("n").alias("high"), "room")
+    return one.unionByName(rows.where("many > 1").groupBy("token", "grp").agg(
+        F.max("many").alias("many"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room")))
+
+
+def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with the same home as blocks of at most 64 nodes: the union of their indexed tokens, and for each
+    token a word with a bit per node that has it.  A block is named by its first node."""
+    held: list[tuple] = []
+    size, run = 0, None
+
+    def block() -> pa.RecordBatch:
+        tokens = np.concatenate([np.frombuffer(x[3], np.uint64) for x in held])
+        bits = np.repeat(np.uint64(1) << np.arange(len(held), dtype=np.uint64), [len(x[3]) // 8 for x in held])
+        union, at = np.unique(tokens, return_inverse=True)
+        masks = np.zeros(len(union), np.uint64)
+        np.bitwise_or.at(masks, at, bits)
+        node, n, grp = ([x[k] for x in held] for k in range(3))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([node[0]], pa.int64()), pa.array([node], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int32())),
+             pa.array([grp], pa.list_(pa.int64())), pa.array([union.tobytes()], pa.binary()), pa.array([masks.tobytes()], pa.binary())],
+            names=["block", "nodes", "sizes", "grps", "tokens", "masks"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = (row["home"], row["guest"], row["part"])
+            if held and (own != run or len(held) == 64 or size > 500_000):
+                yield block()
+                held, size = [], 0
+            run = own
+            held.append((row["node"], row["n"], row["grp"], row["first"]))
+            size += len(row["first"]) // 8
+    if held:
+        yield block()
+
+
+def _spread_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, tokens, masks in zip(*(batch.column(c) for c in ("block", "tokens", "masks"))):
+            tokens, masks = (np.frombuffer(x.as_buffer(), np.int64) for x in (tokens, masks))
+            for low in range(0, len(tokens), 65_536):
+                part = tokens[low:low + 65_536]
+                yield cut(None, {"token": part, "block": np.full(len(part), block.as_py()), "mask": masks[low:low + 65_536]})
+
+
+def _block_counts(percent: int):
+    """Pairs of nodes of two blocks whose shared indexed tokens leave room for a link."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[np.ndarray] = []
+            for row in batch.to_pylist():
+                nodes, sizes, grps = ([np.array(row[f"{c}_{side}"], np.int64) for side in "xy"] for c in ("nodes", "sizes", "grps"))
+                shared = np.zeros((len(nodes[0]), len(nodes[1])), np.float32)
+                masks = np.array([(m["x"], m["y"]) for m in row["masks"]], np.int64).view(np.uint8).reshape(-1, 2, 8)
+                for low in range(0, len(masks), 8192):
+                    bits = np.unpackbits(masks[low:low + 8192], axis=2, bitorder="little").astype(np.float32)
+                    shared += bits[:, 0, :len(nodes[0])].T @ bits[:, 1, :len(nodes[1])]
+                least, most = np.minimum.outer(*sizes), np.maximum.outer(*sizes)
+                bound = (most * percent + 99) // 100 - 1 + shared.astype(np.int64)
+                keep = (shared > 0) & (100 * least >= percent * most) & ((100 + percent) * bound >= percent * (least + most))
+                keep &= np.not_equal.outer(*grps)
+                if row["bx"] == row["by"]:
+                    keep = np.triu(keep, 1)
+                i, j = np.nonzero(keep)
+                if len(i):
+                    found.append(np.stack((nodes[0][i], nodes[1][j])))
+            if found:
+                a, b = np.concatenate(found, axis=1)
+                yield cut(None, {"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return count
+
+
+def _open_blocks(sized: DataFrame, open_groups: DataFrame) -> DataFrame:
+    """The nodes of open groups in blocks of at most 64.
+
+    A group stands beside the largest group that it is open for, so that many small groups around one
+    large group share blocks.  The members of a home are dealt by a hash into as many parts as their number
+    asks for; no part grows with a group.
+    """
+    def size_first(side: str):
+        return F.struct((-F.col(f"many_{side}")).alias("many"), F.col(f"grp_{side}").alias("grp"))
+
+    sides = open_groups.select(F.explode(F.array(
+        F.struct(size_first("x").alias("own"), size_first("y").alias("other")),
+        F.struct(size_first("y").alias("own"), size_first("x").alias("other")))).alias("s"))
+    homes = sides.groupBy("s.own.grp").agg(
+        F.min(F.least("s.own", "s.other"))["grp"].alias("home"), (-F.min("s.own.many")).alias("many")).select(
+        "grp", "home", (F.col("home") != F.col("grp")).alias("guest"), "many")
+    parts = homes.groupBy("home", "guest").agg(F.ceil(F.sum("many") / 40).alias("parts"))
+    homes = staged(homes.join(parts, ["home", "guest"]).select("grp", "home", "guest", "parts"), "homes")
+    dealt = sized.select("node", "n", "first", "grp").join(homes, "grp").withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    return dealt.repartition("home", "guest", "part").sortWithinPartitions("home", "guest", "part", "node").select(
+        "home", "guest", "part", "node", "n", "grp", "first").mapInArrow(
+        _pack_blocks, "block long, nodes array<long>, sizes array<int>, grps array<long>, tokens binary, masks binary")
 
 
 def _matrix_pairs(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different groups that the bounds leave open.
 
     The first token, in the order, that two sets share bounds their overlap by what either has from it
-    on.  A group is opened for another if one of their shared tokens leaves room for a link.  Of the
-    nodes in open groups, the shared index tokens of each pair are counted: of the set whose last
-    indexed token comes first, all indexed tokens but those are missing in the other, so the overlap is
-    at most n - index_length(n) + count.
+    on.  A group is opened for another if one of their shared tokens leaves room for a link.  The nodes
+    of open groups stand in blocks, and the matrix of blocks has a bit per node; where two blocks with
+    groups open for each other share tokens, a product of their bits counts the shared indexed tokens of
+    every pair of nodes at once: of the set whose last indexed token comes first, all indexed tokens but
+    those are missing in the other, so the overlap is at most n - index_length(n) + count.
     """
-    sized = nodes.join(groups, "node", "left").select(
-        "node", "n", "first", F.coalesce("component", "node").alias("grp"),
-        F.col("component").isNull().cast("int").alias("single"))
-    matrix = token_group_matrix(sized.mapInArrow(_spread, _SPREAD))
-    x = matrix.select("token", *[F.col(c).alias(f"{c}_x") for c in ("grp", "low", "high", "room")])
-    y = matrix.select("token", *[F.col(c).alias(f"{c}_y") for c in ("grp", "low", "high", "room")])
+    many = groups.groupBy("component").agg(F.count("*").cast("int").alias("many"))
+    sized = nodes.join(groups.join(many, "component"), "node", "left").select(
+        "node", "n", "first", F.coalesce("component", "node").alias("grp"), F.coalesce("many", F.lit(1)).alias("many"))
+    matrix = token_group_matrix(sized.mapInArrow(_spread, "token long, n int, room int, grp long, many int"))
+    x, y = (matrix.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("grp", "many", "low", "high", "room")]) for side in "xy")
     near = f"100 * high_x >= {percent} * low_y and 100 * high_y >= {percent} * low_x"
     room = f"{100 + percent} * least(room_x, room_y) >= {percent} * (low_x + low_y)"
-    open_groups = staged(x.join(y, "token").where(f"grp_x < grp_y and {near} and {room}").select("grp_x", "grp_y").distinct(), "open")
-    inside = sized.join(
-        open_groups.select(F.explode(F.array("grp_x", "grp_y")).alias("grp")).distinct(), "grp", "left_semi")
-    few = staged(inside.select("node", "n", "first", "grp", "single").mapInArrow(_spread, _SPREAD), "opened")
-    a = few.select("token", F.col("node").alias("a"), F.col("grp").alias("grp_x"), F.col("n").alias("n_a"))
-    b = few.select("token", F.col("node").alias("b"), F.col("grp").alias("grp_y"), F.col("n").alias("n_b"))
-    most = f"(greatest(n_a, n_b) * {percent} + 99) div 100 - 1 + c"
-    return (
-        a.join(open_groups, "grp_x").join(b, ["token", "grp_y"])
-        .where(f"100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a")
-        .groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-        .where(f"{100 + percent} * ({most}) >= {percent} * (n_a + n_b)").select("a", "b")
-    )
+    open_groups = staged(x.join(y, "token").where(f"grp_x < grp_y and {near} and {room}").select(
+        "grp_x", "grp_y", "many_x", "many_y").distinct(), "open")
+    blocks = staged(_open_blocks(sized, open_groups), "blocks")
+    place = blocks.select("block", F.explode(F.array_distinct("grps")).alias("grp"))
+    open_blocks = staged(
+        open_groups.join(place.select(F.col("grp").alias("grp_x"), F.col("block").alias("p")), "grp_x")
+        .join(place.select(F.col("grp").alias("grp_y"), F.col("block").alias("q")), "grp_y")
+        .select(F.least("p", "q").alias("bx"), F.greatest("p", "q").alias("by")).distinct(), "open_blocks")
+    tokens = staged(blocks.select("block", "tokens", "masks").mapInArrow(_spread_blocks, "token long, block long, mask long"), "block_tokens")
+    x = tokens.select("token", F.col("block").alias("bx"), F.col("mask").alias("x"))
+    y = tokens.select("token", F.col("block").alias("by"), F.col("mask").alias("y"))
+    counted = x.join(open_blocks, "bx").join(y, ["token", "by"]).groupBy("bx", "by").agg(
+        F.collect_list(F.struct("x", "y")).alias("masks"))
+    for side in "xy":
+        counted = counted.join(blocks.select(
+            F.col("block").alias(f"b{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ("nodes", "sizes", "grps")]), f"b{side}")
+    return counted.mapInArrow(_block_counts(percent), "a long, b long")
 
 
 def ngram_jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, often: int = 32) -> DataFrame:
