@@ -127,7 +127,8 @@ def _is_frequent(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def token_index(docs: DataFrame, n: int, percent: int, often: int) -> DataFrame:
-    """Per document: set size, 128-bit digest of the set, band keys, and the indexed tokens in the global order."""
+    """Per document: set size, 128-bit digest of the set, band keys, the indexed tokens in the
+    global order, and how many of them (the first ones) are not frequent."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent_tokens(docs, n, often, docs.count()))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +147,10 @@ def token_index(docs: DataFrame, n: int, percent: int, often: int) -> DataFrame:
                     low = [(mix(tokens ^ s)).min() for s in salts]
                     bands = mix(np.array(low[::2]) + mix(np.array(low[1::2]))).astype(np.int64)
                     sums = [int(np.add.reduce(mix(tokens + np.uint64(k))).astype(np.int64)) for k in (1, 2)]
-                    out.append((size, *sums, bands.tolist(), first.tobytes()))
+                    out.append((size, *sums, bands.tolist(), first.tobytes(), min(len(first), int((~hot).sum()))))
                     held += len(first)
                 else:
-                    out.append((0, 0, 0, [], b""))
+                    out.append((0, 0, 0, [], b"", 0))
                 rows.append(row)
                 if held > 500_000:
                     yield _index_batch(ids, rows, out)
@@ -158,15 +159,15 @@ def token_index(docs: DataFrame, n: int, percent: int, often: int) -> DataFrame:
                 yield _index_batch(ids, rows, out)
 
     return docs.select("doc_id", "text").mapInArrow(
-        index, "doc_id long, n int, d1 long, d2 long, bands array<long>, first binary")
+        index, "doc_id long, n int, d1 long, d2 long, bands array<long>, first binary, cold int")
 
 
 def _index_batch(ids: pa.Array, rows: list[int], out: list[tuple]) -> pa.RecordBatch:
-    n, d1, d2, bands, first = zip(*out)
+    n, d1, d2, bands, first, cold = zip(*out)
     return pa.RecordBatch.from_arrays(
         [pc.take(ids, pa.array(rows)), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-         pa.array(bands, pa.list_(pa.int64())), pa.array(first, pa.binary())],
-        names=["doc_id", "n", "d1", "d2", "bands", "first"])
+         pa.array(bands, pa.list_(pa.int64())), pa.array(first, pa.binary()), pa.array(cold, pa.int32())],
+        names=["doc_id", "n", "d1", "d2", "bands", "first", "cold"])
 
 
 def linked_pairs(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -231,7 +232,7 @@ def _band_pairs(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per indexed token; `room` is the size of the set from this token on."""
+    """A row per indexed token; `room` is the size of the set from this token on, `hot` tells frequent tokens."""
     for batch in batches:
         for low in range(0, batch.num_rows, 512):
             part = batch.slice(low, 512)
@@ -241,24 +242,55 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.repeat(part.column("n").to_numpy(), times)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.frombuffer(tokens.tobytes(), np.int64)), pa.array(n), pa.array((n - place).astype(np.int32)),
-                 *(pa.array(np.repeat(part.column(c).to_numpy(), times)) for c in ("grp", "many"))],
-                names=["token", "n", "room", "grp", "many"])
+                 *(pa.array(np.repeat(part.column(c).to_numpy(), times)) for c in ("grp", "many")),
+                 pa.array(place >= np.repeat(part.column("cold").to_numpy(), times))],
+                names=["token", "n", "room", "grp", "many", "hot"])
 
 
 def token_group_matrix(rows: DataFrame) -> DataFrame:
-    """(token, grp, many, low, high, room): each group's token union, with the number of its members, the sizes of its
+    """(token, grp, many, low, high, room, hot): each group's token union, with the number of its members, the sizes of its
     smallest and largest member and the most tokens that a member has from this one on.
 
     Groups of one member need no aggregation; those of several are combined before the shuffle.
     """
-    one = rows.where("many = 1").select("token", "grp", "many", F.col("n").alias("low"), F.col("n").alias("high"), "room")
+    one = rows.where("many = 1").select("token", "grp", "many", F.col("n").alias("low"), F.col("n").alias("high"), "room", "hot")
     return one.unionByName(rows.where("many > 1").groupBy("token", "grp").agg(
-        F.max("many").alias("many"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room")))
+        F.max("many").alias("many"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room"), F.max("hot").alias("hot")))
+
+
+def _met_again(rows: DataFrame, owner: str, alone: str = "false") -> DataFrame:
+    """Rows whose token occurs in another row as well, those with frequent tokens, and those for which `alone` holds.
+
+    Most tokens occur once; they go here, so that the join by token moves the rest only.  Rows with frequent
+    tokens are kept unseen and dealt by their owner, so no task gets all rows of one token.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, False  # The last row so far, and whether it is out already.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            token = batch.column("token").to_numpy()
+            again = np.zeros(len(token), bool)
+            again[1:] = token[1:] == token[:-1]
+            again[:-1] |= again[1:]
+            again |= batch.column("keep").to_numpy(zero_copy_only=False)
+            ends = bool(again[-1])
+            if last is not None and kept:
+                again[0] = False
+            last, kept = batch.slice(len(token) - 1), ends
+            yield batch.filter(pa.array(again))
+
+    kind = rows.withColumn("keep", F.expr(f"hot or ({alone})"))
+    return kind.repartition("token", F.when(F.col("hot"), F.col(owner))).sortWithinPartitions("token").mapInArrow(
+        keep, kind.schema).drop("keep", "hot")
 
 
 def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of rows with the same home as blocks of at most 64 nodes: the union of their indexed tokens, and for each
-    token a word with a bit per node that has it.  A block is named by its first node."""
+    token a word with a bit per node that has it, and whether it is frequent.  A block is named by its first node."""
     held: list[tuple] = []
     size, run = 0, None
 
@@ -268,11 +300,13 @@ def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         union, at = np.unique(tokens, return_inverse=True)
         masks = np.zeros(len(union), np.uint64)
         np.bitwise_or.at(masks, at, bits)
+        hot = np.isin(union, np.concatenate([np.frombuffer(x[3], np.uint64)[x[4]:] for x in held]))
         node, n, grp = ([x[k] for x in held] for k in range(3))
         return pa.RecordBatch.from_arrays(
             [pa.array([node[0]], pa.int64()), pa.array([node], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int32())),
-             pa.array([grp], pa.list_(pa.int64())), pa.array([union.tobytes()], pa.binary()), pa.array([masks.tobytes()], pa.binary())],
-            names=["block", "nodes", "sizes", "grps", "tokens", "masks"])
+             pa.array([grp], pa.list_(pa.int64())), pa.array([union.tobytes()], pa.binary()), pa.array([masks.tobytes()], pa.binary()),
+             pa.array([hot.tobytes()], pa.binary())],
+            names=["block", "nodes", "sizes", "grps", "tokens", "masks", "hot"])
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -281,7 +315,7 @@ def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield block()
                 held, size = [], 0
             run = own
-            held.append((row["node"], row["n"], row["grp"], row["first"]))
+            held.append((row["node"], row["n"], row["grp"], row["first"], row["cold"]))
             size += len(row["first"]) // 8
     if held:
         yield block()
@@ -289,11 +323,13 @@ def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spread_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block, tokens, masks in zip(*(batch.column(c) for c in ("block", "tokens", "masks"))):
+        for block, tokens, masks, hot in zip(*(batch.column(c) for c in ("block", "tokens", "masks", "hot"))):
             tokens, masks = (np.frombuffer(x.as_buffer(), np.int64) for x in (tokens, masks))
+            hot = np.frombuffer(hot.as_buffer(), bool)
             for low in range(0, len(tokens), 65_536):
                 part = tokens[low:low + 65_536]
-                yield cut(None, {"token": part, "block": np.full(len(part), block.as_py()), "mask": masks[low:low + 65_536]})
+                yield cut(None, {"token": part, "block": np.full(len(part), block.as_py()), "mask": masks[low:low + 65_536],
+                                 "hot": hot[low:low + 65_536]})
 
 
 def _block_counts(percent: int):
@@ -343,11 +379,11 @@ def _open_blocks(sized: DataFrame, open_groups: DataFrame) -> DataFrame:
         "grp", "home", (F.col("home") != F.col("grp")).alias("guest"), "many")
     parts = homes.groupBy("home", "guest").agg(F.ceil(F.sum("many") / 40).alias("parts"))
     homes = staged(homes.join(parts, ["home", "guest"]).select("grp", "home", "guest", "parts"), "homes")
-    dealt = sized.select("node", "n", "first", "grp").join(homes, "grp").withColumn(
+    dealt = sized.select("node", "n", "first", "cold", "grp").join(homes, "grp").withColumn(
         "part", F.pmod(F.xxhash64("node"), F.col("parts")))
     return dealt.repartition("home", "guest", "part").sortWithinPartitions("home", "guest", "part", "node").select(
-        "home", "guest", "part", "node", "n", "grp", "first").mapInArrow(
-        _pack_blocks, "block long, nodes array<long>, sizes array<int>, grps array<long>, tokens binary, masks binary")
+        "home", "guest", "part", "node", "n", "grp", "first", "cold").mapInArrow(
+        _pack_blocks, "block long, nodes array<long>, sizes array<int>, grps array<long>, tokens binary, masks binary, hot binary")
 
 
 def _matrix_pairs(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -362,8 +398,9 @@ def _matrix_pairs(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFram
     """
     many = groups.groupBy("component").agg(F.count("*").cast("int").alias("many"))
     sized = nodes.join(groups.join(many, "component"), "node", "left").select(
-        "node", "n", "first", F.coalesce("component", "node").alias("grp"), F.coalesce("many", F.lit(1)).alias("many"))
-    matrix = token_group_matrix(sized.mapInArrow(_spread, "token long, n int, room int, grp long, many int"))
+        "node", "n", "first", "cold", F.coalesce("component", "node").alias("grp"), F.coalesce("many", F.lit(1)).alias("many"))
+    matrix = staged(_met_again(token_group_matrix(
+        sized.mapInArrow(_spread, "token long, n int, room int, grp long, many int, hot boolean")), "grp"), "matrix")
     x, y = (matrix.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("grp", "many", "low", "high", "room")]) for side in "xy")
     near = f"100 * high_x >= {percent} * low_y and 100 * high_y >= {percent} * low_x"
     room = f"{100 + percent} * least(room_x, room_y) >= {percent} * (low_x + low_y)"
@@ -375,7 +412,8 @@ def _matrix_pairs(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFram
         open_groups.join(place.select(F.col("grp").alias("grp_x"), F.col("block").alias("p")), "grp_x")
         .join(place.select(F.col("grp").alias("grp_y"), F.col("block").alias("q")), "grp_y")
         .select(F.least("p", "q").alias("bx"), F.greatest("p", "q").alias("by")).distinct(), "open_blocks")
-    tokens = staged(blocks.select("block", "tokens", "masks").mapInArrow(_spread_blocks, "token long, block long, mask long"), "block_tokens")
+    tokens = staged(_met_again(blocks.select("block", "tokens", "masks", "hot").mapInArrow(
+        _spread_blocks, "token long, block long, mask long, hot boolean"), "block", "mask & (mask - 1) <> 0"), "block_tokens")
     x = tokens.select("token", F.col("block").alias("bx"), F.col("mask").alias("x"))
     y = tokens.select("token", F.col("block").alias("by"), F.col("mask").alias("y"))
     counted = x.join(open_blocks, "bx").join(y, ["token", "by"]).groupBy("bx", "by").agg(
@@ -395,8 +433,8 @@ def ngram_jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, often:
     docs = narrow(docs, {"doc_id": "long", "text": "string"})
     index = staged(token_index(docs, n, percent, often), "index")
     nodes = staged(index.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(
-        F.min("doc_id").alias("node"), F.min(F.struct("first", "bands")).alias("_s")).select(
-        "d1", "d2", "n", "node", "_s.first", "_s.bands"), "nodes")
+        F.min("doc_id").alias("node"), F.min(F.struct("first", "bands", "cold")).alias("_s")).select(
+        "d1", "d2", "n", "node", "_s.first", "_s.bands", "_s.cold"), "nodes")
     # Versions of one document (a repeated id with another text) are linked by definition.
     same = index.where("n > 0 and doc_id is not null").select("doc_id", "d1", "d2", "n").join(
         nodes.select("d1", "d2", "n", "node"), ["d1", "d2", "n"])
@@ -404,7 +442,7 @@ def ngram_jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, often:
     near = linked_pairs(_band_pairs(nodes, percent), docs, n, percent)
     links = staged(near.unionByName(versions), "near")
     groups = components(links)
-    more = linked_pairs(_matrix_pairs(nodes.select("node", "n", "first"), groups, percent), docs, n, percent)
+    more = linked_pairs(_matrix_pairs(nodes.select("node", "n", "first", "cold"), groups, percent), docs, n, percent)
     classes = components(links.unionByName(more))
     of_set = nodes.select("d1", "d2", "n", "node").join(classes, "node", "left").select(
         "d1", "d2", "n", F.coalesce("component", "node").alias("component_id"))

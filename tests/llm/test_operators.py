@@ -302,3 +302,50 @@ def test_language_families(spark):
     lambda d, s: toxicity.toxicity_scores(d, s.createDataFrame([], "doc_id long, toxic int"))])
 def test_empty_tables(spark, operator):
     assert operator(frame(spark, [(1, "a")]).where("doc_id > 1"), spark).count() == 0
+
+
+def test_tokens_that_occur_once_go_across_batches(spark):
+    from rankwell.llm.ngram_join import _met_again
+
+    rows = [(t, o, False) for t in range(40) for o in range(1 + t % 4)] + [(99, 1, True), (98, 1, False)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 2, 3, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            frame = spark.createDataFrame(rows, "token long, owner long, hot boolean")
+            found = sorted(map(tuple, _met_again(frame, "owner", "token = 98").collect()))
+            assert found == sorted([(t, o) for t, o, _ in rows if t < 40 and t % 4] + [(99, 1), (98, 1)])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_blocks_count_what_pairs_share(spark):
+    """Large groups, small ones beside them, and equal bounds: the pairs kept are those that counting gives."""
+    import random
+
+    from rankwell.llm.ngram_join import ngram_jaccard_classes
+
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    docs = []
+    for k in range(260):
+        words = list(base)
+        for at in rng.sample(range(60), 1 if k < 150 else rng.choice([2, 3, 5])):
+            words[at] = f"x{k}_{at}" if k % 3 else f"y{at}"
+        docs.append((k, " ".join(words)))
+    sets = {i: {tuple(t.split()[j:j + 4]) for j in range(57)} for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    found = {r.doc_id: r.component_id for r in ngram_jaccard_classes(
+        spark.createDataFrame(docs, "doc_id long, text string"), n=4, percent=85).collect()}
+    assert found == {i: find(i) for i in sets}
