@@ -19,9 +19,13 @@ in ascending order, and are not in the index.  An empty table gives no shard and
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,51 +40,96 @@ from rankwell.scratch import staged
 SHARD_BYTES = 40 << 20
 #: Keys per bucket of the index, on average.
 BUCKET_KEYS = 1024
-#: Different words that a task remembers with their ids.
-KNOWN_WORDS = 500_000
+#: Different words that a worker remembers with their ids (about 200 bytes each).
+KNOWN_WORDS = 800_000
 _MAGIC = 0x52574C31
 _NO_KEY = -(1 << 63)
 _SLOT = np.dtype([("mark", "<u4"), ("shard", "<i4"), ("record", "<i4"), ("times", "<i4"), ("offset", "<i8"), ("n", "<i8")])
 
 
+#: The parts of a definition under which a letter run, a digit and a run of other signs are pieces of their own.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Words that such a definition cuts by kind of sign alone (no apostrophe), and their pieces in lower case.
+_EASY = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-/:-`{-~]+")
+
+
 class _Encoder:
-    """Ids of texts by the tokenizer's own encode, called once per batch for all words not seen before.
+    """Ids of texts by the tokenizers library, which sees every word once.
 
-    Words are cut at white space, which this kind of tokenizer drops, and are sent joined by a special
-    token, so every word is encoded as if it stood alone.  Texts for which that would not be the same
-    (they hold the start of a special token or separators that only Python takes for white space) are
-    encoded as they are.
+    Words are cut at white space, which this kind of tokenizer drops.  Words of ASCII and Latin-1 signs are
+    cut into the pieces that the definition makes of them and go to the library's model piece by piece;
+    other words, and all words under another definition, go to its encode, joined by a special token, so
+    every word is encoded as if it stood alone.  Texts for which that would not be the same (they hold the
+    start of a special token or separators that only Python takes for white space) are encoded as they are.
     """
 
     def __init__(self, definition: str, kind: str, join: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.kind, self.join, self.mark = kind, join, self.tokenizer.token_to_id(join)
+        self.sign = "H" if kind == "<u2" else "I"
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        parts = json.loads(definition)
+        cuts = (parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.by_piece = (
+            [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])] == _NORMALIZERS
+            and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _SPLIT}
+            and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"])
+        # The model reads bytes in the letters that stand for them.
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.model = self.tokenizer.model
+        self.piece = lru_cache(1 << 16)(self._piece)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.as_bytes))]
+        return struct.pack(f"<{len(ids)}{self.sign}", *ids)
+
+    def _learn(self, words: set[str]) -> None:
         known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        odd = {i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        words = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        new = list({w for own in words for w in own if w not in known})
-        for low in range(0, len(new), 4096):
-            part = new[low:low + 4096]
+        rest = []
+        for w in words:
+            if (ids := self.before.get(w)) is not None:
+                known[w] = ids
+            elif self.by_piece and w.isascii() and w.isalpha():
+                known[w] = self._piece(w.lower())
+            elif self.by_piece and _EASY.fullmatch(w):
+                known[w] = b"".join(map(self.piece, _PIECES.findall(w.lower())))
+            else:
+                rest.append(w)
+        for low in range(0, len(rest), 4096):
+            part = rest[low:low + 4096]
             ids = np.array(self.tokenizer.encode(self.join.join(part), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(ids == self.mark)
             packed = ids.astype(self.kind)
             for w, a, b in zip(part, np.concatenate(([0], ends + 1)), np.concatenate((ends, [len(ids)]))):
                 known[w] = packed[a:b].tobytes()
-        return [self.plain(t) if i in odd else b"".join(map(known.__getitem__, own))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > KNOWN_WORDS // 2:
+            # Words that are still in use move to the new table as they are met.
+            self.known, self.before = {}, self.known
+        odd = {i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f")}
+        words = [[] if i in odd else t.split() for i, t in enumerate(texts)]
+        self._learn(set().union(*words).difference(self.known))
+        return [self.plain(t) if i in odd else b"".join(map(self.known.__getitem__, own))
                 for i, (t, own) in enumerate(zip(texts, words))]
 
 
+@lru_cache(1)
+def _encoder(definition: str, kind: str, join: str) -> _Encoder:
+    """One encoder per Python worker: its next tasks go on with the words that it has met."""
+    return _Encoder(definition, kind, join)
+
+
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, join: str = "<|endoftext|>",
                        shard_bytes: int = SHARD_BYTES) -> str:
     """Write the shards of `docs` (doc_id, text) below `path`; returns the number type of the ids."""
@@ -96,7 +145,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     width = len(end)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(shared.value, kind, join)
+        encoder = _encoder(shared.value, kind, join)
         keys: list[int] = []
         lengths: list[int] = []
         for batch in batches:

@@ -349,3 +349,23 @@ def test_blocks_count_what_pairs_share(spark):
     found = {r.doc_id: r.component_id for r in ngram_jaccard_classes(
         spark.createDataFrame(docs, "doc_id long, text string"), n=4, percent=85).collect()}
     assert found == {i: find(i) for i in sets}
+
+
+def test_token_encoder_equals_the_tokenizer():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from rankwell.llm.queries import word_tokenizer
+
+    definition = open(word_tokenizer(), encoding="utf-8").read()
+    whole = Tokenizer.from_str(definition)
+    encoder = token_files._Encoder(definition, "<u2", "<|endoftext|>")
+    assert encoder.by_piece
+    signs = [chr(c) for c in range(1, 256)] + list("'''sdtmvrel.,0129éÉßÿÀ \n") * 6 + ["ı", "İ", "Σ", "é", "中", "１", "<|endoftext|>"]
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 60))) for _ in range(3000)]
+    expected = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert encoder.encode(texts) == expected
+    encoder.by_piece, encoder.known, encoder.before = False, {}, {}
+    assert encoder.encode(texts) == expected
