@@ -279,6 +279,29 @@ def test_toxicity_finds_obfuscated_words(spark):
     assert all(got[i].held_out for i in held) and all(got[i].predicted == (i % 4 == 0) for i in held)
 
 
+def test_spread_and_long_tokens_are_decoded_whole(spark):
+    rng = np.random.default_rng(8)
+    bad = ["idiot", "stupid", "worthless"]
+    rows, marks = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        rows.append((i, words(rng, 40, 60) + " these are plain words" + (f" {bad[i % 3]} {bad[(i // 4) % 3]}" if toxic else "")))
+        marks.append((i, int(toxic)))
+    cases = ["s t u p i d i d i o t", "a i d i o t", "w1 y s t u p i d w2", " ".join("these" * 14 + "worthlessidiot" + "words" * 4),
+             (30 * ".").join("idiot"), "1D107", "|+1 57 1d107", "these.idiot.words", "s-t-u-p-i-d-i-d-i-o-t"]
+    plain = ["t h e s e a r e p l a i n", "455 1234567 $12", " ".join("theseareplainwords" * 6), "x" * 3000, "- - - - 1 1 1 1"]
+    rows += [(1000 + k, x) for k, x in enumerate(cases)] + [(2000 + k, x) for k, x in enumerate(plain)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(frame(spark, rows), labels).collect()}
+    assert [x for k, x in enumerate(cases) if not got[1000 + k]] == []
+    assert [x for k, x in enumerate(plain) if got[2000 + k]] == []
+    # A token without any letter is decoded, and one longer than the open steps to its end.
+    reader = toxicity.Reader(toxicity.language_model(frame(spark, [(i, "an ass sat in the grass, it was stupid") for i in range(50)])))
+    assert "ass" in reader.token_signs("455") and "ass" in reader.token_signs("4$$")
+    assert reader.restorer.restore("a" + "." * 2000 + "s" + "." * 2000 + "s") == "ass"
+    assert "stupid" in reader.token_signs("s" * 70 + "tupid")
+
+
 def test_language_families(spark):
     rng = np.random.default_rng(9)
     parts = {"en": ["the", "ing", "tion", "and"], "de": ["der", "ung", "sch", "ein"], "fr": ["les", "eau", "oui", "que"], "es": ["los", "cion", "ado", "llo"]}
