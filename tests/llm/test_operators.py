@@ -302,6 +302,26 @@ def test_spread_and_long_tokens_are_decoded_whole(spark):
     assert "stupid" in reader.token_signs("s" * 70 + "tupid")
 
 
+def test_bound_on_labels_keeps_the_ratio_of_classes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows, marks = [], []
+    for i in range(2400):  # one in eight is toxic, and "idiot" stands in clean rows as well
+        toxic = i % 8 == 0
+        rows.append((i, words(rng, 10, 60) + (" idiot" if i % (2 if toxic else 7) == 0 else "")))
+        marks.append((i, int(toxic)))
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    whole, sample = toxicity.label_sample(labels), toxicity.label_sample
+    monkeypatch.setattr(toxicity, "label_sample", lambda df: sample(df, 420))
+    n = {r.toxic: r for r in sample(labels, 420).groupBy("toxic").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    totals = {r.toxic: r["count"] for r in whole.groupBy("toxic").count().collect()}
+    assert n[0].n == 210 and {k: round(r.w) for k, r in n.items()} == totals
+    bounded = {r.doc_id: r.score for r in toxicity.toxicity_scores(frame(spark, rows), labels).collect()}
+    monkeypatch.setattr(toxicity, "label_sample", sample)
+    every = {r.doc_id: r.score for r in toxicity.toxicity_scores(frame(spark, rows), labels).collect()}
+    logit = lambda p: np.log(p / (1 - p))
+    assert np.median([abs(logit(bounded[i]) - logit(every[i])) for i in every]) < 0.7
+
+
 def test_language_families(spark):
     rng = np.random.default_rng(9)
     parts = {"en": ["the", "ing", "tion", "and"], "de": ["der", "ung", "sch", "ein"], "fr": ["les", "eau", "oui", "que"], "es": ["los", "cion", "ado", "llo"]}
