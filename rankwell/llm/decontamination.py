@@ -3,8 +3,9 @@
 A text is turned into tokens; a number, a unit after a number, and a word inside a sentence
 that starts with a capital A-Z keep their value but count as a placeholder of their type.  Windows of `n` template tokens are hashed and
 joined with the windows of the benchmark.  A document that holds at least `percent` of an item's windows
-is a candidate; on the alignment with the most windows the values behind the placeholders must map one to
-one (equal values to equal values), which tells a re-parameterised question from a chance template.
+is a candidate; on the alignment with the most windows, or at any other place with `percent` of the windows,
+the values behind the placeholders must map one to one (equal values to equal values), which tells a
+re-parameterised question from a chance template.
 
 Everything is DataFrame expressions.  Windows of the benchmark are broadcast only up to a checked number
 of rows; beyond it the join shuffles.  Documents are read a second time only for the candidates.
@@ -70,12 +71,13 @@ def template_tokens(text: Column) -> Column:
     return F.filter(F.when(has_slot(text), with_slots).otherwise(plain), lambda x: x != "")
 
 
-def template_windows(tokens: DataFrame, n: int, literal: int, *keys: str) -> DataFrame:
-    """(keys, at, window): hashes of the windows of `tokens` with enough plain tokens."""
+def template_windows(tokens: DataFrame, n: int, literal: int, *keys: str, values: bool = False) -> DataFrame:
+    """(keys, at, window): hashes of the windows of `tokens` with enough plain tokens; with `values` their tokens as `seen`."""
     slots = F.exists("tokens", lambda x: x < "\x04")
     marks = tokens.select(
         *keys, F.transform("tokens", lambda x: F.xxhash64(F.when(x < "\x04", F.substring(x, 1, 1)).otherwise(x))).alias("h"),
-        F.when(slots, F.transform("tokens", lambda x: (x >= "\x04").cast("int"))).alias("plain"))
+        F.when(slots, F.transform("tokens", lambda x: (x >= "\x04").cast("int"))).alias("plain"),
+        *["tokens"] * values)
 
     def window(i: Column) -> Column:
         return F.xxhash64(*[F.get("h", i + k) for k in range(n)])
@@ -87,13 +89,53 @@ def template_windows(tokens: DataFrame, n: int, literal: int, *keys: str) -> Dat
     places = F.sequence(F.lit(0), F.size("h") - n)
     windows = F.when(F.size("h") < n, F.lit(None)).when(F.col("plain").isNull(), F.transform(places, window)).otherwise(
         F.transform(places, checked))
+    if values:
+        windows = F.transform(windows, lambda w, i: F.struct(w.alias("window"), F.slice("tokens", i + 1, n).alias("seen")))
+        return marks.select(*keys, F.posexplode(windows).alias("at", "w")).select(*keys, "at", "w.*").where("window is not null")
     return marks.select(*keys, F.posexplode(windows).alias("at", "window")).where("window is not null")
 
 
+def _one_to_one(pairs: Column) -> Column:
+    """Whether equal values stand for equal values, both ways, in an array of (a, b)."""
+    a, b = F.transform(pairs, lambda s: s["a"]), F.transform(pairs, lambda s: s["b"])
+    different = F.size(F.array_distinct(F.arrays_zip(a.alias("a"), b.alias("b"))))
+    return (different == F.size(F.array_distinct(a))) & (different == F.size(F.array_distinct(b)))
+
+
+def _consistent_occurrences(texts: DataFrame, items: DataFrame, wanted: DataFrame, left: DataFrame, n: int, percent: int, literal: int
+                            ) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_found, slots): rows of `left` with an occurrence whose values map one to one.
+
+    Every shift at which a window of the item stands is the middle of an occurrence: each of the item's
+    windows is taken at its nearest place, less than the item's length away, so that words put in or left
+    out do not end it.  Values are compared in the windows taken.
+    """
+    key = ["doc_id", "doc_text", "item_id", "item_text"]
+    searched = left.join(items, ["item_id", "item_text"]).select(*left.columns, "tokens", F.size("tokens").alias("width")).join(
+        wanted, ["item_id", "item_text"]).select(*left.columns, "width", "item_at", "window", F.slice("tokens", F.col("item_at") + 1, n).alias("asked"))
+    texts = texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("doc_text", F.xxhash64("tokens"))
+    pairs = F.filter(
+        F.transform("asked", lambda a, i: F.struct((F.col("item_at") + i).alias("i"), a.alias("a"), F.get("seen", i).alias("b"))),
+        lambda s: s["a"] < "\x04")
+    places = template_windows(texts, n, literal, "doc_id", "doc_text", values=True).join(searched, ["doc_id", "window"])
+    places = staged(places.select(
+        *key, "n_windows", "n_found", "width", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs")).distinct(), "places")
+    stretch = F.floor(F.col("shift") / F.col("width"))
+    middles = places.select(*key, "shift", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).distinct().withColumnRenamed(
+        "shift", "middle")
+    away = F.abs(F.col("shift") - F.col("middle"))
+    taken = places.withColumn("stretch", stretch).join(middles, [*key, "stretch"]).where(away < F.col("width")).groupBy(
+        *key, "n_windows", "n_found", "middle", "item_at").agg(F.min(F.struct(away, "shift", "pairs"))["pairs"].alias("pairs"))
+    whole = taken.groupBy(*key, "n_windows", "n_found", "middle").agg(F.count("*").alias("k"), F.flatten(F.collect_list("pairs")).alias("pairs"))
+    return whole.where(f"100 * k >= {percent} * n_windows").where(_one_to_one(F.col("pairs"))).groupBy("doc_id", "item_id").agg(
+        F.max("n_windows").alias("n_windows"), F.max("n_found").alias("n_found"),
+        F.max(F.size(F.array_distinct("pairs.i"))).cast("long").alias("slots"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80, literal: int = 3) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, slots): documents that hold an item, with its values free.
 
-    `slots` is the number of placeholders compared on the best alignment.
+    `slots` is the number of placeholders compared on the best alignment, or at the place that fits.
     """
     docs = narrow(docs, {"doc_id": "long", "text": "string"}).where("doc_id is not null")
     items = narrow(benchmark, {"item_id": "long", "text": "string"}).where("item_id is not null").distinct()
@@ -123,11 +165,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int
         F.transform("asked", lambda a, i: F.struct(a.alias("a"), F.get("tokens", i + F.col("shift").cast("int")).alias("b"))),
         lambda s: (s["a"] < "\x04") & (s["b"] < "\x04") & (F.substring(s["a"], 1, 1) == F.substring(s["b"], 1, 1)))
     aligned = aligned.withColumn("pairs", F.when(F.col("shift") >= -F.size("asked"), pairs))
-    different = F.size(F.array_distinct("pairs"))
-    one_to_one = (different == F.size(F.array_distinct("pairs.a"))) & (different == F.size(F.array_distinct("pairs.b")))
-    return aligned.where(one_to_one).groupBy("doc_id", "item_id").agg(
-        F.max("n_windows").alias("n_windows"), F.max("n_found").alias("n_found"),
-        F.max(F.size("pairs")).cast("long").alias("slots"))
+    tested = staged(aligned.select(
+        "doc_id", "item_id", "item_text", "n_windows", "n_found", F.size("pairs").cast("long").alias("slots"),
+        F.coalesce(_one_to_one(F.col("pairs")), F.lit(False)).alias("fits")), "tested")
+    reported = tested.where("fits").groupBy("doc_id", "item_id").agg(
+        F.max("n_windows").alias("n_windows"), F.max("n_found").alias("n_found"), F.max("slots").alias("slots"))
+    # Where the best alignment does not fit, every other place is tried.
+    left = tested.join(reported.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti").select(
+        "doc_id", "item_id", "item_text", "n_windows", "n_found").distinct()
+    if not left.isEmpty():
+        reported = reported.unionByName(_consistent_occurrences(texts, items, wanted, left, n, percent, literal))
+    return reported
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:

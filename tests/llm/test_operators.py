@@ -237,6 +237,19 @@ def test_reparameterised_question_is_found(spark):
     assert left.columns == docs.columns and left.count() == 6
 
 
+def test_every_place_of_an_item_is_tried(spark):
+    item = "A train leaves the old station with 12 wagons and Peter counts 12 people near the 30 km mark before noon today"
+    wrong = item.replace("12 people", "46 people")
+    far = " ".join(f"filler{k}" for k in range(300))
+    long = item + " while old John Smith sells seven green apples to his good friend Mary Jones near the river bank"
+    docs = frame(spark, [(1, wrong + ". " + item), (2, wrong + ". " + far + ". " + item.replace("12", "45")), (3, wrong + ". " + far + ". " + wrong),
+                         (4, f"{wrong}. {wrong}. {item}. {wrong}"), (5, long.replace("John Smith sells", "John Smith Smith sells")),
+                         (6, wrong.replace(" and ", ". " + far + " "))])
+    bench = spark.createDataFrame([(9, item), (8, long)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    assert {(1, 9), (2, 9), (4, 9), (5, 8), (5, 9)} <= got and not {3, 6} & {d for d, _ in got}
+
+
 def test_quality_statistics(spark):
     rows = [(1, "a b c a b c x"), (2, None), (3, ""), (4, "l1\nl1\n \n \nl2 #$"), (5, "word " * 60), (6, " ".join(f"Wort{i}" for i in range(60)))]
     got = {r.doc_id: r for r in quality.quality_verdicts(frame(spark, rows)).collect()}
