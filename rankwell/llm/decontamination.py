@@ -10,8 +10,11 @@ re-parameterised question from a chance template.
 Everything is DataFrame expressions.  Windows of the benchmark are broadcast only up to a checked number
 of rows; beyond it the join shuffles.  Documents are read a second time only for the candidates.
 
+Items that have no window, or so few that one more or less decides, are found by their exact tokens as well,
+whatever stands between the tokens; such a row has the item's windows (1 if it has none) as `n_windows` and `n_found`.
+
 Defined cases: windows with fewer than `literal` plain tokens say nothing and are left out on both sides;
-an item without a window matches nothing; null and empty texts have no window.  Rows that share a doc_id
+an item of one word is in every document with that word; null and empty texts match nothing.  Rows that share a doc_id
 are one document; rows without one are never reported and never removed.
 """
 
@@ -132,6 +135,47 @@ def _consistent_occurrences(texts: DataFrame, items: DataFrame, wanted: DataFram
         F.max(F.size(F.array_distinct("pairs.i"))).cast("long").alias("slots"))
 
 
+def _literal(tokens: Column) -> Column:
+    """Tokens without the marks of their types."""
+    return F.transform(tokens, lambda x: F.when(x < "\x04", F.substring(x, 2, (1 << 31) - 1)).otherwise(x))
+
+
+def _exact_copies(docs: DataFrame, items: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """(doc_id, item_id, n_windows, n_found, slots): exact places of the items that would be lost with one window.
+
+    Documents that hold the first tokens of such an item (at most `n`) are read again and searched for all of
+    them.  None if there is no such item.
+    """
+    few = items.join(sizes, ["item_id", "item_text"], "left").where(F.size("tokens") > 0).where(
+        f"n_windows is null or 100 * (n_windows - 1) < {percent} * n_windows")
+    few = staged(few.select(
+        "item_id", "item_text", F.coalesce("n_windows", F.lit(1)).cast("long").alias("n_windows"), _literal(F.col("tokens")).alias("asked"),
+        F.size(F.filter("tokens", lambda x: x < "\x04")).cast("long").alias("slots")), "few")
+    lengths = sorted(r["k"] for r in few.select(F.least(F.size("asked"), F.lit(n)).alias("k")).distinct().collect())
+    if not lengths:
+        return None
+    heads = few.select("item_id", "item_text", F.xxhash64(F.slice("asked", 1, n)).alias("head"))
+    heads = F.broadcast(heads) if few.count() <= BROADCAST_WINDOWS else heads
+    tokens = docs.select("doc_id", _literal(template_tokens(F.col("text"))).alias("tokens"))
+
+    def windows(k: int) -> Column:
+        places = F.when(F.size("tokens") >= k, F.sequence(F.lit(1), F.size("tokens") - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(F.slice("tokens", i, k)))
+
+    found = tokens.select("doc_id", F.explode(F.array_distinct(F.concat(*map(windows, lengths)))).alias("head")).join(heads, "head").select(
+        "doc_id", "item_id", "item_text").distinct()
+    found = staged(found, "heads")
+    ids = found.select("doc_id").distinct()
+
+    def joined(tokens: Column) -> Column:
+        return F.concat(F.lit("\x00"), F.array_join(tokens, "\x00"), F.lit("\x00"))
+
+    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", joined(_literal(template_tokens(F.col("text")))).alias("held"))
+    asked = few.withColumn("asked", joined(F.col("asked")))
+    return found.join(asked, ["item_id", "item_text"]).join(texts, "doc_id").where(F.contains("held", "asked")).select(
+        "doc_id", "item_id", "n_windows", F.col("n_windows").alias("n_found"), "slots")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80, literal: int = 3) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, slots): documents that hold an item, with its values free.
 
@@ -175,6 +219,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int
         "doc_id", "item_id", "item_text", "n_windows", "n_found").distinct()
     if not left.isEmpty():
         reported = reported.unionByName(_consistent_occurrences(texts, items, wanted, left, n, percent, literal))
+    copies = _exact_copies(docs, items, sizes, n, percent)
+    if copies is not None:
+        reported = reported.unionByName(copies).groupBy("doc_id", "item_id").agg(
+            *[F.max(c).alias(c) for c in ("n_windows", "n_found", "slots")])
     return reported
 
 

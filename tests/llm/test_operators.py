@@ -250,6 +250,20 @@ def test_every_place_of_an_item_is_tried(spark):
     assert {(1, 9), (2, 9), (4, 9), (5, 8), (5, 9)} <= got and not {3, 6} & {d for d, _ in got}
 
 
+def test_items_without_windows_are_found_by_their_tokens(spark):
+    items = {1: "12 + 7 * 3 = 33", 2: "Who wrote Hamlet?", 3: "Paris, London, Rome, Madrid, Berlin and Vienna", 4: "pangram", 5: None, 6: "?!",
+             7: "Add 17 km to 25 km then 4 km"}
+    texts = ["We know that 12 + 7 * 3 = 33.", "12 + 7 * 3 = 34", "He asked: Who wrote Hamlet? Nobody knew", "and who wrote Hamlet", "who wrote hamlets",
+             "From Paris, London, Rome, Madrid, Berlin and Vienna it came", "Paris, London, Rome, Madrid, Berlin and Zurich", "a Pangram", "pangrams",
+             None, "", "so Add 17 km to 25 km then 4 km", "Add 17 km to 26 km then 4 km", "112 + 7 * 3 = 33", "12 + 7 * 3 = 333"]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, list(enumerate(texts))), bench).collect()}
+    cut = lambda x: re.findall(r"\w+", (x or "").lower())
+    inside = lambda a, b: any(b[i:i + len(a)] == a for i in range(len(b) - len(a) + 1))
+    assert got == {(d, i) for i, x in items.items() for d, y in enumerate(texts) if cut(x) and inside(cut(x), cut(y))}
+    assert len(got) == 6
+
+
 def test_quality_statistics(spark):
     rows = [(1, "a b c a b c x"), (2, None), (3, ""), (4, "l1\nl1\n \n \nl2 #$"), (5, "word " * 60), (6, " ".join(f"Wort{i}" for i in range(60)))]
     got = {r.doc_id: r for r in quality.quality_verdicts(frame(spark, rows)).collect()}
