@@ -6,9 +6,10 @@ span, and rendering the turn once more with a probe for its text tells where its
 Where an output does not begin with the one before, the template rewrites history: the conversation is
 marked, and its whole output is returned as one piece without spans.
 
-Conversations stream through tasks in order, in blocks of `BLOCK` turns: the prefixes of a block start
-with the turn before it, so a very long conversation costs its length and is never held as a whole.  A
-template whose output for a turn depends on turns further back than a block is not supported.
+Conversations stream through tasks in order.  The prefixes are those of the whole conversation, which is
+held until its last turn; its cost grows with the square of its length.  A template that is declared
+`local` (what it gives for turns is the outputs of the single turns, one after the other) is rendered in
+blocks of `BLOCK` turns, and a conversation is never held as a whole.  `instruction_template` is local.
 
 The default template marks turns with control strings.  Control strings inside texts get one backslash
 more than they have, and lose it when read back, so formatting is reversible for every text.
@@ -32,7 +33,7 @@ from rankwell.llm.shared import narrow
 from rankwell.scratch import staged
 
 Template = Callable[[list[tuple[str, str]]], str]
-#: Turns whose prefixes are rendered together.
+#: Turns of a local template whose prefixes are rendered together.
 BLOCK = 16
 _CONTROL = r"(?:</?s>|\[/?INST\]|\[/?ROLE)"
 _PLAIN = re.compile(rf"(\\*{_CONTROL})")
@@ -114,12 +115,14 @@ def rendered_spans(turns: list[tuple[str, str]], template: Template, before: tup
 _PIECES = "conv_id long, part long, turns long, role string, piece string, text_start long, text_end long, rewrites boolean"
 
 
-def format_conversations(conversations: DataFrame, template: Template = instruction_template) -> DataFrame:
+def format_conversations(conversations: DataFrame, template: Template = instruction_template, local: bool | None = None) -> DataFrame:
     """(conv_id, part, turns, role, piece, text_start, text_end, rewrites) for `conversations` (conv_id, turn, role, text).
 
     The pieces of a conversation in the order of `part` are its formatted text; a piece is one turn, with
     the range of its text inside, or, if the template rewrites history, the output for `turns` turns.
+    `local` declares that a turn's output depends on that turn alone; by default it holds for `instruction_template` only.
     """
+    local = template is instruction_template if local is None else local
     rows = narrow(conversations, {"conv_id": "long", "turn": "long", "role": "string", "text": "string"})
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +134,9 @@ def format_conversations(conversations: DataFrame, template: Template = instruct
                 return
             found = rendered_spans(turns, template, state["before"])
             if found is None:
-                whole = template(([state["before"]] if state["before"] else []) + turns)
+                if local:
+                    raise ValueError("a template that is declared local rewrites history")
+                whole = template(turns)
                 rows_out.append((state["conv"], state["part"], len(turns), None, whole, -1, -1, True))
             else:
                 for i, ((role, _), (piece, start, end)) in enumerate(zip(turns, found)):
@@ -152,7 +157,7 @@ def format_conversations(conversations: DataFrame, template: Template = instruct
                     close(out)
                     state.update(conv=conv, begun=True, before=None, part=0, block=[])
                 state["block"].append((role or "", text or ""))
-                if len(state["block"]) == BLOCK:
+                if local and len(state["block"]) == BLOCK:
                     close(out)
                 if sum(len(r[4]) for r in out[-BLOCK:]) > 1 << 20 or len(out) >= 2048:
                     yield batch_of(out)

@@ -211,6 +211,25 @@ def test_templates_that_rewrite_history_are_found(spark):
     assert [r.rewrites for r in chat.format_conversations(rows, forgets).collect()] == [True]
 
 
+def test_prefixes_are_those_of_the_whole_conversation(spark):
+    plain = [("u", f"text {k}") for k in range(40)]
+    rows = spark.createDataFrame([(1, k, *t) for k, t in enumerate(plain)], "conv_id long, turn int, role string, text string")
+
+    def numbered(turns):
+        return "".join(f"<{k} {r}>{t}" for k, (r, t) in enumerate(turns))
+
+    def rewrites_late(turns):
+        return "".join(f"<{r}>{t if len(turns) < 30 or k else '...'}" for k, (r, t) in enumerate(turns))
+
+    got = sorted(chat.format_conversations(rows, numbered).collect(), key=lambda r: r.part)
+    assert "".join(r.piece for r in got) == numbered(plain)
+    assert [r.piece[r.text_start:r.text_end] for r in got] == [t for _, t in plain]
+    got = chat.format_conversations(rows, rewrites_late).collect()
+    assert [(r.turns, r.rewrites, r.piece) for r in got] == [(40, True, rewrites_late(plain))]
+    with pytest.raises(Exception, match="declared local"):
+        chat.format_conversations(rows, lambda turns: str(len(turns)) + numbered(turns), local=True).collect()
+
+
 def test_license_positions_and_suppression(spark):
     rows = [(1, "Foo CC-BY bar. All  Rights\nreserved cc by"), (2, None), (3, "GNU General Public License, version 3."),
             (4, "Licensed under the Apache License, Version 2.0."), (5, "acc bye allrights reserved"), (6, ""), (7, "cc by cc by")]
