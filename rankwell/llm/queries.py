@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell.llm import chat, decontamination, language, licenses, mixing, ngram_join, quality, repeats, token_files, toxicity
+from rankwell.llm import (
+    alignment, chat, collocations, decontamination, grid_join, language, licenses, mixing, ngram_join, quality, repeats,
+    token_files, toxicity,
+)
 from rankwell.llm.shared import table
 from rankwell.scratch import scratch_path
 
@@ -86,3 +89,21 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_quality_rules", quality.quality_sql())
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, folder, "documents"))
+
+
+@_query("op11_grid_order_join")
+def grid_order_join(spark: SparkSession, folder: str) -> DataFrame:
+    return grid_join.near_copies(table(spark, folder, "embeddings"), threshold=0.9)
+
+
+@_query("op12_token_alignment")
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignment_scores(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query("op13_collocations", collocations.collocations_sql())
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))

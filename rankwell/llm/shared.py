@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,18 @@ def narrow(df: DataFrame, columns: dict[str, str]) -> DataFrame:
         (F.col(f"`{c}`") if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()])
 
 
+def per_worker(key: str, build: Callable[[], Any]) -> Any:
+    """What `build` makes, kept in the Python worker for its next tasks; a worker keeps one such object.
+
+    Functions travel to workers by value, so nothing of this package can hold it there.
+    """
+    holder = sys.modules.setdefault("_kept_in_worker", types.ModuleType("_kept_in_worker"))
+    if getattr(holder, "key", None) != key:
+        holder.value = None
+        holder.key, holder.value = key, build()
+    return holder.value
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and where each value starts (one more at the end); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
