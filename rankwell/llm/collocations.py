@@ -7,11 +7,15 @@
    divided by the threshold: whenever it has more, the largest counter beyond that number is taken from
    all, and what is not positive leaves.  What was taken from one counter, in all, stays below the
    threshold, so every n-gram that occurs `least` times survives; counters that cannot reach it go.
-3. The survivors are marked in a bitmap for every task.  A second pass over the texts counts the n-grams
-   that are marked, by their words; the exact counts decide.  A full bitmap, or keys that collide, only
-   cost time.
-4. A phrase is cut in two at every place, scored by its weakest cut, left out if a longer phrase explains
-   half of its occurrences, and ranked within its language.
+3. The survivors are marked in a bitmap for every task.  A second pass over the texts sums what is marked
+   and sends it the same way; partitions add it up, and the exact counts decide.  n-grams are told apart by
+   two hashes of 64 bits, of all their words and of all but the last.  A full bitmap, or cut hashes that
+   collide, only cost time.
+4. The hash of an n-gram can be undone word by word, so the hashes of all its parts follow from its own and
+   those of its beginnings.  A phrase is cut in two at every place, scored by its weakest cut, left out if a
+   longer phrase explains half of its occurrences, and ranked within its language, all by hashes.
+5. A third pass reads the words of the phrases that can be among the first, equal ones included, and the
+   number of words per language.
 
 Defined cases: texts that are null, empty or without words count nothing; languages that are null are
 `und`.  Rows are never merged: rows that repeat a doc_id count each.  Texts of any length are taken whole.
@@ -24,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankwell.llm.shared import LOWER, chunks, mix, narrow, running_hash, span_hash, word_spans
+from rankwell.llm.shared import LOWER, chunks, mix, narrow, running_hash, span_hash, unmixed, word_spans
 from rankwell.scratch import staged
 
 #: Bytes between words, and those of them that end a piece.
@@ -44,6 +49,20 @@ FILTER_BITS = 1 << 27
 _MASS, _KEYS = 0, 1
 
 
+_STEP = 0x9E3779B97F4A7C15
+_UNSTEP = np.uint64(pow(_STEP, -1, 1 << 64))
+
+
+def extended(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of an n-gram that goes on with a word, from its key and the word's hash."""
+    return mix(key * np.uint64(_STEP) + word)
+
+
+def last_word(key: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The hash of the last word, from the keys with and without it."""
+    return unmixed(key) - before * np.uint64(_STEP)
+
+
 class Grams:
     """The n-grams of some texts: their keys, and where their words begin and end."""
 
@@ -53,11 +72,12 @@ class Grams:
         begin, end, before = word_spans(data, starts, _BETWEEN)
         self.words = np.diff(before)
         self.begin, self.end = begin, end
+        self.text_of = np.repeat(np.arange(len(starts) - 1), self.words)
         self.data = data
         self._slices: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         n = len(begin)
         if not n:
-            self.keys = np.zeros((longest, 0), np.uint64)
+            self.keys = self.before = np.zeros((longest, 0), np.uint64)
             self.fits = np.zeros((longest, 0), bool)
             return
         hashes = np.empty(n, np.uint64)
@@ -67,20 +87,22 @@ class Grams:
             sums, down = running_hash(data[begin[low]:end[high - 1]])
             hashes[low:high] = span_hash(sums, down, begin[low:high] - begin[low], end[low:high] - begin[low])
             low = high
-        text = np.repeat(np.arange(len(starts) - 1), self.words)
+        text = self.text_of
         # A word opens a piece if its text does or if a byte that ends a piece stands before it.
         ends = np.cumsum(_ENDS[data])
         opens = np.r_[True, (text[1:] != text[:-1]) | (ends[begin[1:]] != ends[begin[:-1]])]
         piece = np.cumsum(opens)
         own = seed[text]
-        running = mix(hashes ^ own)
+        running = extended(own, hashes)
         self.keys, self.fits = np.zeros((longest, n), np.uint64), np.zeros((longest, n), bool)
         self.keys[0], self.fits[0] = running, True
         for k in range(1, longest):
             if k < n:
-                running = mix(running[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[k:])
+                running = extended(running[:-1], hashes[k:])
                 self.keys[k, :n - k] = running
                 self.fits[k, :n - k] = piece[k:] == piece[:n - k]
+        #: Keys of the n-grams without their last word; that of a single word is its language.
+        self.before = np.concatenate((own[None], self.keys[:-1]))
 
     def text(self, first: np.ndarray, size: np.ndarray) -> list[str]:
         """The words of n-grams, with one blank between them."""
@@ -108,13 +130,13 @@ def _seeds(langs: list[str | None], known: dict[str, int]) -> np.ndarray:
     return np.array([known[x] for x in langs], np.uint64)
 
 
-def _grams(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[Grams, list[str]]]:
+def _grams(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[Grams, list[str], np.ndarray]]:
     known: dict[str, int] = {}
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         seeds = _seeds(langs, known)
         for first, last, data, starts in chunks(batch.column("text")):
-            yield Grams(data, starts, seeds[first:last], longest), langs[first:last]
+            yield Grams(data, starts, seeds[first:last], longest), langs[first:last], seeds[first:last]
 
 
 def packed_keys(keys: np.ndarray, times: np.ndarray) -> bytes:
@@ -200,7 +222,7 @@ def summary_parts(docs: DataFrame, longest: int, bits: int, partitions: int) ->
             low = keys & ((np.uint64(1) << tail) - np.uint64(1))
             return _rows(part[edges], _KEYS, np.zeros(len(edges), np.int64), [packed_keys(low[a:b], times[a:b]) for a, b in zip(edges, ends)])
 
-        for grams, _ in _grams(batches, longest):
+        for grams, _, _ in _grams(batches, longest):
             held.append(grams.keys[grams.fits] >> shift)
             size += len(held[-1])
             if size >= HELD:
@@ -267,104 +289,231 @@ def _marks(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3) -> DataFrame:
-    """(lang, phrase, size, f): every phrase of 1 to `longest` words with f >= `least`, and for every language
-    a row of size 0 with the number of its words."""
-    docs = narrow(docs, {"lang": "string", "text": "string"}).withColumn("lang", F.coalesce("lang", F.lit("und")))
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    # Words have six bytes or so; the numbers of bits and partitions only balance the work.
-    partitions = max(4, (total // PARTITION_BYTES).bit_length())
-    bits = min(62, max(32, (total // 2).bit_length() + 10))
-    survivors = surviving_keys(summary_parts(docs, longest, bits, partitions), least, bits, partitions)
-    survivors = staged(survivors, "survivors")
-    marks = spark.sparkContext.broadcast(_marks(survivors))
-    shift = np.uint64(64 - bits)
+def _sums(keys: np.ndarray, before: np.ndarray, tags: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The columns with rows of equal keys (both) added up, in the order of keys."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    if (same & (before[order[1:]] != before[order[:-1]])).any():
+        order = np.lexsort((before, keys))
+        same = (keys[order[1:]] == keys[order[:-1]]) & (before[order[1:]] == before[order[:-1]])
+    first = np.flatnonzero(np.r_[True, ~same]) if len(keys) else np.zeros(0, np.int64)
+    lead = order[first]
+    return keys[lead], before[lead], tags[lead], np.add.reduceat(times[order], first) if len(keys) else times
+
+
+def _open(keys: np.ndarray, marked: np.ndarray, shift: np.uint64) -> np.ndarray:
+    bit = (keys >> shift).astype(np.int64) % FILTER_BITS
+    return (marked[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def marked_counts(docs: DataFrame, marks: Broadcast, longest: int, bits: int, partitions: int) -> DataFrame:
+    """(part, keys, before, tags, langs): per task and hash partition, sums of marked n-grams.
+
+    A tag is a place in `langs`, times `longest`, plus the size less 1.
+    """
+    shift, tail = np.uint64(64 - bits), np.uint64(64 - partitions)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = marks.value
-        held: dict[tuple[str, str], list[int]] = {}
-        words: dict[str, int] = {}
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        held: list[tuple[np.ndarray, ...]] = [none]
+        size = 0
+        langs: dict[int, int] = {}
 
-        def flush() -> pa.RecordBatch:
-            rows = [(lang, phrase, *x) for (lang, phrase), x in held.items()]
-            held.clear()
-            lang, phrase, size, key, n = zip(*rows)
+        def merged() -> tuple[np.ndarray, ...]:
+            return _sums(*(np.concatenate(x) for x in zip(*held)))
+
+        def sent() -> pa.RecordBatch:
+            keys, before, tags, times = held[0]
+            part = (keys >> tail).astype(np.int64)
+            edges = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.r_[edges[1:], len(part)]
+            low = keys & ((np.uint64(1) << tail) - np.uint64(1))
+            wide = "<u1" if len(langs) * longest < 256 else "<u4"
+            seeds = np.array(list(langs), np.uint64).tobytes()
+            pieces = list(zip(edges, ends))
             return pa.RecordBatch.from_arrays(
-                [pa.array(lang), pa.array(phrase), pa.array(size, pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64())],
-                names=["lang", "phrase", "size", "key", "n"])
+                [pa.array(part[edges]), pa.array([packed_keys(low[a:b], times[a:b]) for a, b in pieces], pa.binary()),
+                 pa.array([before[a:b].tobytes() for a, b in pieces], pa.binary()),
+                 pa.array([tags[a:b].astype(wide).tobytes() for a, b in pieces], pa.binary()), pa.array([seeds] * len(pieces), pa.binary())],
+                names=["part", "keys", "before", "tags", "langs"])
+
+        for grams, _, seeds in _grams(batches, longest):
+            for seed in np.unique(seeds).tolist():
+                langs.setdefault(seed, len(langs))
+            keys = grams.keys[grams.fits]
+            take = _open(keys, marked, shift)
+            words, place = np.nonzero(grams.fits)
+            lang = np.array([langs[x] for x in seeds.tolist()], np.int64)
+            tags = (lang[grams.text_of[place[take]]] * longest + words[take]).astype(np.int64)
+            held.append(_sums(keys[take], grams.before[grams.fits][take], tags, np.ones(len(tags), np.int64)))
+            size += len(held[-1][0])
+            if size > HELD:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield sent()
+                    held, size = [none], 0
+        held = [merged()]
+        if len(held[0][0]):
+            yield sent()
+
+    return docs.mapInArrow(count, "part long, keys binary, before binary, tags binary, langs binary")
+
+
+def frequent_grams(counted: DataFrame, least: int, longest: int, partitions: int) -> DataFrame:
+    """(lang, size, key, before, f) for every n-gram with f >= `least`; `lang` is a number per language."""
+    tail = np.uint64(64 - partitions)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = None
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        langs: dict[int, int] = {}
 
-        for grams, langs in _grams(batches, longest):
-            for lang, n in zip(langs, grams.words.tolist()):
-                words[lang] = words.get(lang, 0) + n
-            size, first = np.nonzero(grams.fits)
-            key = (grams.keys[grams.fits] >> shift).astype(np.int64)
-            bit = key % FILTER_BITS
-            open_ = np.flatnonzero((marked[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-            if not len(open_):
-                continue
-            # Equal n-grams of a chunk, some hundred thousand, are told by 64 bits and written once; from
-            # here on words and not hashes are counted.
-            whole = grams.keys[size[open_], first[open_]]
-            turn = np.argsort(whole, kind="stable")
-            whole = whole[turn]
-            lead = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
-            times = np.diff(np.r_[lead, len(whole)]).tolist()
-            at = open_[turn[lead]]
-            of_text = np.searchsorted(np.cumsum(grams.words), first[at], "right")
-            for i, phrase, k, h, n in zip(of_text.tolist(), grams.text(first[at], size[at] + 1), (size[at] + 1).tolist(), key[at].tolist(), times):
-                own = held.get((langs[i], phrase))
-                if own is None:
-                    held[langs[i], phrase] = [k, h, n]
-                else:
-                    own[2] += n
-            if len(held) >= 300_000:
-                yield flush()
-        for lang, n in words.items():
-            held[lang, ""] = [0, -1, n]
+        def finished() -> Iterator[pa.RecordBatch]:
+            keys, before, tags, times = _sums(*(np.concatenate(x) for x in zip(*held)))
+            keep = times >= least
+            seeds = np.array(list(langs), np.uint64)[tags[keep] // longest]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(seeds.astype(np.int64)), pa.array((tags[keep] % longest + 1).astype(np.int32)), pa.array(keys[keep].astype(np.int64)),
+                 pa.array(before[keep].astype(np.int64)), pa.array(times[keep])], names=["lang", "size", "key", "before", "f"])
+
+        for batch in batches:
+            for p, raw, before, tags, seeds in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+                if p != part:
+                    if held:
+                        yield from finished()
+                    part, held, size = p, [], 0
+                low, times = unpacked_keys(raw.as_py())
+                own = np.array([langs.setdefault(x, len(langs)) for x in np.frombuffer(seeds.as_py(), np.uint64).tolist()], np.int64)
+                tags = np.frombuffer(tags.as_py(), "<u1" if len(own) * longest < 256 else "<u4").astype(np.int64)
+                held.append((low | (np.uint64(p) << tail), np.frombuffer(before.as_py(), np.uint64), own[tags // longest] * longest + tags % longest, times))
+                size += len(low)
+                if size > HELD:
+                    held = [_sums(*(np.concatenate(x) for x in zip(*held)))]
+                    size = len(held[0][0]) // 2
         if held:
-            yield flush()
+            yield from finished()
 
-    counted = docs.mapInArrow(count, "lang string, phrase string, size int, key long, n long")
-    # A full filter lets others pass; what is no survivor leaves before phrases are summed.
-    true = survivors.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("key")))
-    counts = counted.join(true, "key", "left_semi").groupBy("key", "lang", "phrase", "size").agg(F.sum("n").alias("f"))
-    return counts.where((F.col("f") >= least) | (F.col("size") == 0)).drop("key")
+    dealt = counted.repartition(1 << partitions, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(add, "lang long, size int, key long, before long, f long")
 
 
-def _part(first: int | Column, size: int | Column) -> Column:
-    return F.array_join(F.slice("w", first, size), " ")
+def phrase_parts(grams: DataFrame, longest: int) -> DataFrame:
+    """(lang, key, before, a, k, l_key, l_before, r_key, r_before): every phrase of two or more words with its
+    parts at every cut k, and with k = 0 and the part as `l`, every phrase inside it."""
+    chained = grams.where("size > 1").withColumn("chain", F.array("before", "key"))
+    up = grams.select("lang", F.col("key").alias("_key"), F.col("before").alias("_up"), F.col("size").alias("_size"))
+    for k in range(longest - 1):
+        # The first of a chain is the key of `size - 1 - k` words; its own beginning goes before it.
+        head = chained.join(up, (chained["lang"] == up["lang"]) & (F.get("chain", F.lit(0)) == F.col("_key")) & (F.col("size") - 1 - k == F.col("_size")), "left")
+        chained = head.select(chained["lang"], "size", "key", "before", "f", F.when(
+            F.col("_up").isNull(), F.col("chain")).otherwise(F.concat(F.array("_up"), "chain")).alias("chain"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("size").to_numpy()
+            for size in np.unique(sizes):
+                rows = batch.filter(pa.array(sizes == size))
+                # Keys of the first 0 (the language), 1, ... `size` words, and the words' hashes.
+                chain = np.stack(rows.column("chain").to_pylist()).astype(np.int64).view(np.uint64).T
+                words = [last_word(chain[i + 1], chain[i]) for i in range(size)]
+
+                def part(i: int, k: int) -> list[np.ndarray]:
+                    key, before = chain[0], chain[0]
+                    for word in words[i:k]:
+                        key, before = extended(key, word), key
+                    return [key.view(np.int64), before.view(np.int64)]
+
+                zeros = np.zeros(len(chain[0]), np.int64)
+                out = [(k, part(0, k), part(k, size)) for k in range(1, size)]
+                out += [(0, part(i, i + m), [zeros, zeros]) for m in range(2, size) for i in range(size - m + 1)]
+                for k, left, right in out:
+                    yield pa.RecordBatch.from_arrays(
+                        [*(rows.column(c) for c in ("lang", "key", "before", "f")), pa.array(np.full(len(zeros), k, np.int32)),
+                         *(pa.array(np.ascontiguousarray(x)) for x in (*left, *right))],
+                        names=["lang", "key", "before", "a", "k", "l_key", "l_before", "r_key", "r_before"])
+
+    return chained.select("lang", "size", "key", "before", "f", "chain").mapInArrow(
+        cut, "lang long, key long, before long, a long, k int, l_key long, l_before long, r_key long, r_before long")
+
+
+def phrase_words(docs: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
+    """(key, before, lang, phrase, n): the words of `phrases` (key), others may be among them; and, with key
+    null, the number of words per language and task."""
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(phrases.select("key")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = marks.value
+        seen: set[tuple[int, int]] = set()
+        words: dict[str, int] = {}
+        for grams, langs, _ in _grams(batches, longest):
+            for lang, n in zip(langs, grams.words.tolist()):
+                words[lang] = words.get(lang, 0) + n
+            keys = grams.keys[grams.fits]
+            take = np.flatnonzero(_open(keys, marked, np.uint64(0)))
+            if not len(take):
+                continue
+            _, first = np.unique(keys[take], return_index=True)
+            take = take[first]
+            size, place = (x[take] for x in np.nonzero(grams.fits))
+            both = list(zip(keys[take].astype(np.int64).tolist(), grams.before[grams.fits][take].astype(np.int64).tolist()))
+            new = [i for i, x in enumerate(both) if x not in seen]
+            if len(seen) < 100_000:
+                seen.update(both)
+            texts = grams.text(place[new], size[new] + 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([both[i][0] for i in new], pa.int64()), pa.array([both[i][1] for i in new], pa.int64()),
+                 pa.array([langs[grams.text_of[place[i]]] for i in new], pa.string()), pa.array(texts, pa.string()), pa.array([0] * len(new), pa.int64())],
+                names=["key", "before", "lang", "phrase", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.string()), pa.nulls(len(words), pa.string()),
+             pa.array(list(words.values()), pa.int64())], names=["key", "before", "lang", "phrase", "n"])
+
+    return docs.mapInArrow(read, "key long, before long, lang string, phrase string, n long")
 
 
 def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2_000, share: int = 50) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the `top` phrases of 2 to `longest` words per language.
 
-    `a` occurrences of the phrase, `l` and `r` of its first part and the rest at the cut that scores
-    lowest, `n` words of the language; a phrase is left out if a longer one that holds it has at least
-    `share` percent of its occurrences.
+    `a` (at least `least`) occurrences of the phrase, `l` and `r` of its first part and the rest at the cut
+    that scores lowest, `n` words of the language; a phrase is left out if a longer one that holds it has at
+    least `share` percent of its occurrences.
     """
-    counts = staged(phrase_counts(docs, least, longest), "phrases")
-    totals = counts.where("size = 0").select("lang", F.col("f").alias("n"))
-    found = counts.where("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
+    docs = narrow(docs, {"lang": "string", "text": "string"}).withColumn("lang", F.coalesce("lang", F.lit("und")))
+    total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    # Words have six bytes or so; the numbers of bits and partitions only balance the work.
+    partitions = max(4, (total // PARTITION_BYTES).bit_length())
+    bits = min(62, max(32, (total // 2).bit_length() + 10))
+    survivors = surviving_keys(summary_parts(docs, longest, bits, partitions), least, bits, partitions)
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(survivors))
+    grams = staged(frequent_grams(marked_counts(docs, marks, longest, bits, partitions), least, longest, partitions), "grams")
+    marks.destroy()
+
     # Parts occur at least as often as the phrase, so they are in the table.
-    cuts = found.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1))).select(
-        "lang", "phrase", "a", "k", _part(F.lit(1), F.col("k")).alias("left"), _part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
-    part = counts.where("size > 0").select("lang", F.col("phrase").alias("left"), F.col("f").alias("l"))
-    rest = counts.where("size > 0").select("lang", F.col("phrase").alias("right"), F.col("f").alias("r"))
-    cuts = cuts.join(part, ["lang", "left"]).join(rest, ["lang", "right"])
+    parts = staged(phrase_parts(grams, longest), "phrase-parts")
+    left = grams.select("lang", F.col("key").alias("l_key"), F.col("before").alias("l_before"), F.col("f").alias("l"))
+    right = grams.select("lang", F.col("key").alias("r_key"), F.col("before").alias("r_before"), F.col("f").alias("r"))
+    cuts = parts.where("k > 0").join(left, ["lang", "l_key", "l_before"]).join(right, ["lang", "r_key", "r_before"])
     # Counts below 10^15 leave room for the whole product in 38 digits.
     digits = {c: F.col(c).cast("decimal(15,0)") for c in ("a", "l", "r")}
     cuts = cuts.withColumn("over", (F.lit(1_000_000).cast("decimal(7,0)") * digits["a"]) * digits["a"]).withColumn("under", digits["l"] * digits["r"])
     cuts = cuts.withColumn("score", F.expr("over div under"))
-    scored = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
+    scored = cuts.groupBy("lang", "key", "before", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
     # Every phrase tells the shorter ones inside it how often it occurs.
-    inner = found.where("size > 2").select("lang", "a", "w", "size", F.explode(F.sequence(F.lit(2), F.col("size") - 1)).alias("m")).select(
-        "lang", "a", "w", "m", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("m") + 1)).alias("i")).select(
-        "lang", _part(F.col("i"), F.col("m")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    left = scored.join(inner, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True)))
+    inner = parts.where("k = 0").groupBy("lang", F.col("l_key").alias("key"), F.col("l_before").alias("before")).agg(F.max("a").alias("longer"))
+    kept = scored.join(inner, ["lang", "key", "before"], "left").where(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True)))
+    by_score = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
+    first = staged(kept.select("lang", "key", "before", "a", "c.l", "c.r", "c.score").withColumn("_r", F.rank().over(by_score)).where(
+        F.col("_r") <= top).drop("lang", "_r"), "first-phrases")
+
+    words = staged(phrase_words(docs, first, longest), "phrase-words")
+    texts = words.where("key is not null").groupBy("key", "before").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+    totals = words.where("key is null").groupBy("lang").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = left.select("lang", "phrase", "a", "c.l", "c.r", "c.score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.join(F.broadcast(totals), "lang").select(
+    ranked = first.join(texts, ["key", "before"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

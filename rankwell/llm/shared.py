@@ -85,6 +85,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def unmixed(x: np.ndarray) -> np.ndarray:
+    """The numbers that `mix` scrambled."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(pow(0x81DADEF4BC2DD44D, -1, 1 << 64))
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * np.uint64(pow(0x7FB5D329728EA185, -1, 1 << 64))
+    return x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+
+
 _BASE = 0x9E3779B97F4A7C15
 _LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
