@@ -84,7 +84,7 @@ def _noted(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.
             piece = data[low:high]
             ends = starts[1:][starts[1:] > low] - low
             ends = np.minimum(ends, high - low)
-            places, grams, _, _ = _anchors(piece, ends, length)
+            places, grams, sums, down = _anchors(piece, ends, length)
             if not len(places):
                 continue
             at = places + low
@@ -93,7 +93,8 @@ def _noted(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.
             right = np.minimum(length, starts[text + 1] - at)
             # Surroundings may reach beyond the piece, up to `length` bytes on either side.
             a, b = max(0, low - length), min(total, high + length)
-            sums, down = running_hash(data[a:b])
+            if b - a > len(piece):
+                sums, down = running_hash(data[a:b])
             s, e = at - left - a, at + right - a
             notes = np.zeros(len(at), _NOTE)
             notes["anchor"] = grams[places]
@@ -137,8 +138,15 @@ def _merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> dict[str, np.ndarr
     return {"doc": doc[at], "s": s[at], "e": reach[np.r_[at[1:], len(doc)] - 1]}
 
 
+def _buckets(notes: np.ndarray, bits: int) -> np.ndarray:
+    """Buckets of notes.  Anchors are smallest hashes, so they are mixed again before their bits are even."""
+    return (mix(notes["anchor"].astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _packed(notes: np.ndarray, bits: int) -> tuple[list[int], list[bytes]]:
-    bucket = (notes["anchor"] >> np.uint64(64 - bits)).astype(np.int64)
+    bucket = _buckets(notes, bits)
+    order = np.argsort(bucket, kind="stable")
+    bucket, notes = bucket[order], notes[order]
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
     return bucket[edges].tolist(), [notes[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(notes)))]
 
@@ -221,7 +229,9 @@ def open_surroundings(docs: DataFrame, still: DataFrame, length: int, bits: int)
             notes = notes[order]
             keep = np.r_[True, (notes["anchor"][1:] != notes["anchor"][:-1]) | (notes["around"][1:] != notes["around"][:-1])]
             notes, order = notes[keep], order[keep]
-            bucket = (notes["anchor"] >> np.uint64(64 - bits)).astype(np.int64)
+            bucket = _buckets(notes, bits)
+            turn = np.argsort(bucket, kind="stable")
+            bucket, notes, order = bucket[turn], notes[turn], order[turn]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = np.append(edges[1:], len(notes))
             return _batch(bucket[edges].tolist(), [notes[a:b].tobytes() for a, b in zip(edges, ends)],
@@ -253,17 +263,26 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | wide[i:i + n]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]]
     reach = 8
-    order = np.argsort(key, kind="stable")
-    while True:
-        ranks = np.empty(n, np.uint64)
-        ranks[order] = np.cumsum(np.r_[np.uint64(1), (key[order[1:]] != key[order[:-1]]).astype(np.uint64)], dtype=np.uint64)
-        if reach >= depth or int(ranks[order[-1]]) == n:
-            return order
-        key = ranks * np.uint64(n + 1)
-        key[:n - reach] += ranks[reach:]
-        order = np.argsort(key, kind="stable")
+    while reach < depth:
+        # The rank of a suffix is the place where those that share `reach` bytes with it begin.
+        lead = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        rank = np.empty(n + 1, np.int64)
+        rank[order], rank[n] = lead, -1
+        tied = np.flatnonzero(~(new & np.r_[new[1:], True]))
+        if not len(tied):
+            break
+        # Only suffixes that are still tied are sorted on, by the rank of what follows.
+        start = order[tied]
+        key = lead[tied] * (n + 1) + rank[np.minimum(start + reach, n)] + 1
+        turn = np.argsort(key)
+        order[tied], key = start[turn], key[turn]
+        new[tied] = np.r_[True, key[1:] != key[:-1]]
         reach *= 2
+    return order
 
 
 def prefix_boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -279,6 +298,8 @@ def prefix_boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.nd
     by_byte = np.argsort(before, kind="stable")
     longer = np.empty(n, np.int64)
     longer[by_byte] = np.arange(n)
+    leads = text[order].astype(np.int64)
+    owner = np.empty(n, np.int64)
     common = np.full(n + 1, -1, np.int16)
     common[0] = common[n] = 0
     low, high = np.array([0]), np.array([n])  # half-open
@@ -289,13 +310,12 @@ def prefix_boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.nd
         which = np.repeat(np.arange(len(low)), sizes)
         rows = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
         to = longer[rows]
-        # Children of an interval are runs of `to` per preceding byte.
-        key = which * 256 + before[rows]
-        if len(key) > 1:
-            turn = np.argsort(key, kind="stable")
-            key, to = key[turn], to[turn]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        last = np.r_[first[1:], len(key)] - 1
+        # Intervals of one round are disjoint; a child is what one of them sends to the block of one byte.
+        owner[to] = which
+        to.sort()
+        turn = owner[to] * 256 + leads[to]
+        first = np.flatnonzero(np.r_[True, turn[1:] != turn[:-1]])
+        last = np.r_[first[1:], len(to)] - 1
         child_low, child_high = to[first], to[last] + 1
         new = common[child_high] == -1
         child_low, child_high = child_low[new], child_high[new]
@@ -349,6 +369,8 @@ def repeated_strings(notes: np.ndarray, parts: list[np.ndarray], length: int) ->
     order = suffix_order(text, length + 1)
     common = prefix_boundaries(text, order, length)
     kind = np.cumsum(common >= 0)
+    shared = (common < 0) | np.r_[common[1:] < 0, False]
+    order, kind = order[shared], kind[shared]
     part = np.searchsorted(begin, order, "right") - 1
     inside = order + length <= begin[part] + sizes[part] - 1  # the string does not run into a separator
     order, kind, part = order[inside], kind[inside], part[inside]
