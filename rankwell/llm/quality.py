@@ -6,7 +6,8 @@ is not looked at by the rules after it (CASE evaluates its branches in turn).  T
 the time: a row is kept if no rule rejects it, whatever the order.
 
 Defined cases: null and empty texts have no words, every count is 0 and they fail the base rules.
-Rows are never merged or dropped; other columns are ignored.
+Rows are never merged or dropped, whether doc_ids repeat or are null; a text of any length is measured
+whole, in one task.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.llm.shared import narrow
+from rankwell.scratch import staged
 
 _BLANKS = " \t\n\x0b\f\r"
 _BLANK_RUN = "[ \\t\\n\\x0b\\f\\r]+"
 _SYMBOLS = "#*$%&|<>"
 #: Rows of the sample on which costs and selectivities are estimated.
 SAMPLE_ROWS = 2_000
+#: How often a rule looks at a row of the sample when it is timed, so that its cost stands above that of a job.
+REPEATS = 3
 
 
 @dataclass(frozen=True)
@@ -96,38 +100,41 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def rule_order(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of the rules, most rejections per second on a sample of at most `rows` rows first.
+def sampled_rows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most `rows` rows of `docs`, drawn at random from the first partitions that yield enough, as a written table."""
+    total = docs.count()
+    return staged(docs.sample(fraction=min(1.0, max(4 * rows / max(total, 1), 0.01)), seed=7).limit(rows), "rule-sample")
+
+
+def rule_order(sample: DataFrame, rules: list[Rule]) -> list[str]:
+    """Names of the rules, most rejections per second on `sample` first.
 
-    The sample is drawn at random from the first partitions that yield enough rows.  A rule's cost is
-    its time beyond that of a pass without rules; equal rates go by name.
+    A rule's cost is its time over the rows of the sample, each taken REPEATS times, beyond that of a pass
+    without rules, the least of three; equal rates go by name.
     """
     if len(rules) < 2:
         return [r.name for r in rules]
-    total = docs.count()
-    some = docs.sample(fraction=min(1.0, max(4 * rows / max(total, 1), 0.01)), seed=7).limit(rows)
-    sample = docs.sparkSession.createDataFrame(some.toArrow()) if total else docs
-    drawn = max(1, min(total, rows))
+    often = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
 
-    def timed(condition: Column) -> tuple[float, int]:
-        best, hits = float("inf"), 0
-        for _ in range(2):
+    def timed(condition: Column) -> tuple[float, int, int]:
+        best, hits, drawn = float("inf"), 0, 0
+        for _ in range(3):
             start = time.perf_counter()
-            hits = sample.agg(F.sum(condition.cast("int")).alias("n")).collect()[0]["n"] or 0
+            hits, drawn = often.agg(F.sum(condition.cast("int")), F.count(condition)).collect()[0]
             best = min(best, time.perf_counter() - start)
-        return best, hits
+        return best, hits or 0, max(1, drawn)
 
-    base, _ = timed(F.length("text") < 0)
+    base, _, _ = timed(F.length("text") < 0)
     rates = []
     for rule in rules:
-        cost, hits = timed(rule.rejects)
+        cost, hits, drawn = timed(rule.rejects)
         rates.append((-(hits / drawn) / max(cost - base, 1e-4), rule.name))
     return [name for _, name in sorted(rates)]
 
 
 def cascade(docs: DataFrame, rules: list[Rule], order: list[str] | None = None, sampled: DataFrame | None = None) -> DataFrame:
-    """`docs` with `kept`: true if no rule rejects the row.  `order` is estimated on `sampled` unless given."""
-    order = order or rule_order(sampled if sampled is not None else docs, rules)
+    """`docs` with `kept`: true if no rule rejects the row.  `order` is estimated on `sampled`, or rows of `docs`, unless given."""
+    order = order or rule_order(sampled if sampled is not None else sampled_rows(docs), rules)
     by_name = {r.name: r.rejects for r in rules}
     verdict = None
     for name in order:
@@ -137,10 +144,15 @@ def cascade(docs: DataFrame, rules: list[Rule], order: list[str] | None = None,
 
 def quality_verdicts(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """doc_id, the five statistics, base_failed, and kept: false if base_failed, else the cascade's verdict."""
-    stats = text_statistics(narrow(docs, {"doc_id": "long", "text": "string"}))
-    stats = stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    def measured(rows: DataFrame) -> DataFrame:
+        stats = text_statistics(rows)
+        return stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+    docs = narrow(docs, {"doc_id": "long", "text": "string"})
+    stats = measured(docs)
     ruled = default_rules() if rules is None else rules
-    order = rule_order(stats, ruled)
+    # The sample is drawn first, so that only its rows are measured for it.
+    order = rule_order(staged(measured(sampled_rows(docs)), "rule-statistics"), ruled) if len(ruled) > 1 else [r.name for r in ruled]
     ruled = [Rule("base", F.col("base_failed")), *ruled]
     return cascade(stats, ruled, ["base", *order]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
