@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankwell.llm.shared import chunks, mix, narrow
+from rankwell.llm.shared import chunks, mix, narrow, per_worker
 from rankwell.scratch import staged
 
 #: Text bytes per shard; a shard's ids take about two thirds of it.
@@ -124,12 +124,6 @@ class _Encoder:
                 for i, (t, own) in enumerate(zip(texts, words))]
 
 
-@lru_cache(1)
-def _encoder(definition: str, kind: str, join: str) -> _Encoder:
-    """One encoder per Python worker: its next tasks go on with the words that it has met."""
-    return _Encoder(definition, kind, join)
-
-
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, join: str = "<|endoftext|>",
                        shard_bytes: int = SHARD_BYTES) -> str:
     """Write the shards of `docs` (doc_id, text) below `path`; returns the number type of the ids."""
@@ -141,11 +135,13 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     docs = narrow(docs, {"doc_id": "long", "text": "string"})
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(definition)
+    name = f"encoder-{zlib.crc32(definition.encode())}-{kind}-{join}"
     end = np.array([end_id], kind).tobytes()
     width = len(end)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, kind, join)
+        # One encoder per Python worker: its next tasks go on with the words that it has met.
+        encoder = per_worker(name, lambda: _Encoder(shared.value, kind, join))
         keys: list[int] = []
         lengths: list[int] = []
         for batch in batches:
