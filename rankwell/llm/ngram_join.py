@@ -97,7 +97,7 @@ def _frequent_tokens(docs: DataFrame, n: int, often: int, rows: int) -> np.ndarr
                 if len(tokens):
                     held.append(tokens)
                     size += len(tokens)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -152,7 +152,7 @@ def token_index(docs: DataFrame, n: int, percent: int, often: int) -> DataFrame:
                 else:
                     out.append((0, 0, 0, [], b"", 0))
                 rows.append(row)
-                if held > 500_000:
+                if held > 200_000:
                     yield _index_batch(ids, rows, out)
                     out, rows, held = [], [], 0
             if rows:
@@ -194,8 +194,8 @@ def linked_pairs(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
             at = batch.column("bit").to_numpy()
             # Bit b of a bitmap stands in byte b // 8, lowest first.
             keep = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-            for low in range(0, len(keep), 256):
-                part = batch.take(pa.array(keep[low:low + 256]))
+            for low in range(0, len(keep), 128):
+                part = batch.take(pa.array(keep[low:low + 128]))
                 found = [x.tobytes() for _, x in token_sets(part.column("text"), n)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "tokens"])

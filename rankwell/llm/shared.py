@@ -21,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """From now on this session hands rows to Python in batches of at most `most` bytes, whatever their number."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def one_of(characters: str, negated: bool = False) -> str:
     """A class of a regular expression that names every character by itself.
 

@@ -325,14 +325,16 @@ def sign_odds(labelled: DataFrame, model: np.ndarray, most: int = SIGNS, words:
     counts = labelled.select("text", "toxic").mapInArrow(count, "sign string, clean long, toxic long").groupBy("sign").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    found = counts.where(f"toxic >= {3 if toxic >= 100 else 2}").select("sign", odds.alias("odds"), "toxic").where("odds > 1.5")
+    found = counts.where("toxic >= 2").select("sign", odds.alias("odds"), "toxic").where("odds > 1.5")
     return {r["sign"]: r["odds"] for r in found.orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "sign").limit(most).collect()}
 
 
-def _evidence(docs: DataFrame, model: np.ndarray, odds: dict[str, float], words: dict[str, float]) -> DataFrame:
-    """`docs` (doc_id, text, ...) without text, with `most` and `sum`: the largest odds of a token, and their sum."""
+def _evidence(docs: DataFrame, model: np.ndarray, odds: dict[str, float], words: dict[str, float], texts_too: bool = False) -> DataFrame:
+    """`docs` (doc_id, text, ...), without text unless asked for, with `most` and `sum`: the largest odds of a
+    token, and their sum."""
     shared = docs.sparkSession.sparkContext.broadcast((model, odds, words))
-    rest = [f for f in docs.schema.fields if f.name != "text"]
+    rest = [f for f in docs.schema.fields if texts_too or f.name != "text"]
+    sent = [f"`{f.name}`" for f in docs.schema.fields if f.name != "text"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, odds, words = shared.value
@@ -360,7 +362,7 @@ def _evidence(docs: DataFrame, model: np.ndarray, odds: dict[str, float], words:
                 [*(batch.column(f.name) for f in rest), pa.array(most), pa.array(total)], names=[*(f.name for f in rest), "most", "sum"])
 
     schema = T.StructType([*rest, T.StructField("most", T.DoubleType()), T.StructField("sum", T.DoubleType())])
-    return docs.select(*[f"`{f.name}`" for f in rest], "text").mapInArrow(read, schema)
+    return docs.select(*sent, "text").mapInArrow(read, schema)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -402,9 +404,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     else:
         w = np.array(DEFAULT_COEFFICIENTS)
     # The text travels with the row where it is carried, so nothing is joined back.
-    found = _evidence(every.select(*every.columns, F.col("text").alias("_text")) if "text" in carry else every, model, odds, words)
+    found = _evidence(every, model, odds, words, "text" in carry)
     z = F.col("most") * float(w[0]) + F.log1p("sum") * float(w[1]) + float(w[2])
     score = (1 / (1 + F.exp(-z))).cast("double")
-    kept = [F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in carry]
-    return found.select("doc_id", *kept, held_out().alias("held_out"), score.alias("score")).withColumn(
+    return found.select("doc_id", *[f"`{c}`" for c in carry], held_out().alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
