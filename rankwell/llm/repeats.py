@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.llm.shared import CHUNK_BYTES, chunks, mix, narrow, running_hash, utf8
+from rankwell.llm.shared import CHUNK_BYTES, chunks, mix, narrow, running_hash, span_hash, utf8
 from rankwell.scratch import staged
 
 _K = 32
@@ -325,6 +325,30 @@ def prefix_boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.nd
     return common[:n]
 
 
+def _promising(notes: np.ndarray, starts: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+    """Whether a surroundings can share `length` bytes with another one of its anchor.
+
+    Whatever place the anchor has in a shared string, the string holds one of five spans around the anchor,
+    a quarter of the room shorter than itself; one of the five recurs then.
+    """
+    room = length - _K
+    step = max(1, -(-room // 4))
+    sums, down = running_hash(data)
+    left, right = notes["left"].astype(np.int64), notes["right"].astype(np.int64)
+    out = np.zeros(len(notes), bool)
+    for before in range(0, room + step, step):
+        before = min(before, room)
+        after = max(0, room - before - step + 1)
+        fits = np.flatnonzero((left >= before) & (right >= _K + after))
+        low = starts[fits] + left[fits] - before
+        key = mix(span_hash(sums, down, low, low + before + _K + after) ^ notes["anchor"][fits])
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        out[fits[order[1:][same]]] = True
+        out[fits[order[:-1][same]]] = True
+    return out
+
+
 def _expanded(length: int):
     def expand(group: pa.Table) -> pa.Table:
         """Repeated strings among the open surroundings of a bucket, as ranges."""
@@ -341,6 +365,8 @@ def _expanded(length: int):
         order = order[keep][~lonely]
         notes, starts, sizes = notes[order], starts[order], sizes[order]
         out = [np.zeros(0, np.int64)] * 3
+        chance = _promising(notes, starts, data, length)
+        notes, starts, sizes = notes[chance], starts[chance], sizes[chance]
         # Anchors are independent, so a bucket is transformed in parts of whole anchors.
         edges = np.flatnonzero(np.r_[True, notes["anchor"][1:] != notes["anchor"][:-1]]) if len(notes) else np.zeros(0, int)
         edges = np.r_[edges, len(notes)]
