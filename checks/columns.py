@@ -30,10 +30,13 @@ def synonyms(spark, folder):
     return named.select("user_key", "item_key", "title")
 
 
-@query("b3_flatten_aspects", """select row_key as user_id, service, check_in, cast(null as double) as rooms
-       from raw_reviews""")
+_OTHER_ASPECTS = [a for a in cleaning.ASPECT_KEYS if a not in ("service", "check_in")]
+
+
+@query("b3_flatten_aspects", "select row_key as user_id, service, check_in, "
+       + ", ".join(f"cast(null as double) as {a}" for a in _OTHER_ASPECTS) + " from raw_reviews")
 def flat(spark, folder):
-    return cleaning.flatten_aspects(D.raw_reviews(spark, folder)).select("user_id", "service", "check_in", "rooms")
+    return cleaning.flatten_aspects(D.raw_reviews(spark, folder)).select("user_id", *cleaning.ASPECT_KEYS)
 
 
 @query("b4_keep_existing", "select user_id, item_id, rating, date from inter")
@@ -206,14 +209,13 @@ def soft(spark, folder):
 
 
 @query("b24_hadamard_dot", """select a.vec_id, round(list_dot_product(a.e, b.e), 6) as dot,
-       round(a.e[1] * b.e[1], 6) as first, round(a.e[64] * b.e[64], 6) as last
+       round(list_sum(list_transform(list_zip(a.e, b.e), lambda p, i: p[1] * p[2] * i)), 6) as every
        from v a join v b on b.vec_id = a.vec_id + 1""", v="select vec_id, embedding::double[] as e from embeddings")
 def products(spark, folder):
     v = D.table(spark, folder, "embeddings").select("vec_id", "embedding")
     both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
     return both.select("vec_id", V.dot("embedding", "other").alias("dot"),
-                       V.hadamard("embedding", "other")[0].alias("first"),
-                       V.hadamard("embedding", "other")[63].alias("last"))
+                       D.every_coordinate(V.hadamard("embedding", "other")).alias("every"))
 
 
 @query("b25_sigmoid_bpr_loss", """select row_key, round(1 / (1 + exp(-(rating - 3))), 6) as sigmoid,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwell.operators import core, knn, popular, sampling
@@ -200,6 +200,13 @@ def vectors_of(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
 
 DIM = 64
 
+
+def every_coordinate(vector: Column) -> Column:
+    """One number in which every coordinate counts with its place, from 1."""
+    return F.aggregate(F.transform(vector, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda total, x: total + x)
+
+
+
 # ---------------------------------------------------------------------------------------------------
 # The same in SQL.  `with_ctes` puts the expressions a statement needs in front of it.
 
@@ -319,6 +326,13 @@ CTES = {
               from summed h join neighbours l on l.item_id = h.item_id group by all)
         where (user_id, item_id) not in (select user_id, item_id from summed)
       )""",
+    # Lists that are too short go on with the items that score nothing, smallest ids first.
+    "filled": """select user_id, item_id, score, rank from recommended union all
+      select user_id, item_id, 0.0, coalesce(n, 0) + row_number() over (partition by user_id order by item_id) as rank
+      from (select u.user_id, i.item_id, l.n from (select distinct user_id from inter) u, range((select n from n_items)) as i(item_id)
+            left join (select user_id, count(*) as n from recommended group by user_id) l on l.user_id = u.user_id
+            where coalesce(l.n, 0) < 200 and (u.user_id, i.item_id) not in (select user_id, item_id from summed)
+              and (u.user_id, i.item_id) not in (select user_id, item_id from recommended))""",
     "meta": r"""
       select item_id, item_url, cast(regexp_extract(item_url, p, 1) as bigint) as g_id,
              regexp_extract(item_url, p, 3) as hotel_name, regexp_extract(item_url, p, 4) as location_slug,

@@ -91,7 +91,7 @@ def knn_unweighted(spark, folder):
     return knn.itemknn_score(pairs, D.neighbours(spark, folder), history, weighted=False)
 
 
-@query("k8_itemknn_recommend", "select user_id, item_id, round(score, 6) as score, rank from recommended where rank <= 10")
+@query("k8_itemknn_recommend", "select user_id, item_id, round(score, 6) as score, rank from filled where rank <= 10 and user_id in (select user_id from train)")
 def recommended(spark, folder):
     train = _train(spark, folder)
     return knn.itemknn_recommend(train, D.neighbours(spark, folder), core.sum_pairs(train), 10)
@@ -460,9 +460,9 @@ def best_blend(spark, folder):
 
 # --- two stages -------------------------------------------------------------------------------------
 
-N = 50
+N = 200
 STAGES = {
-    "retrieved": f"select user_id, item_id, score, rank from recommended where rank <= {N}",
+    "retrieved": f"select user_id, item_id, score, rank from filled where rank <= {N}",
     "asked": """select t.row_key as row_id, t.user_id, t.item_id as truth, r.item_id is not null as was_retrieved,
           coalesce(s.size, 0) as size from test t left join retrieved r on r.user_id = t.user_id and r.item_id = t.item_id
         left join (select user_id, max(rank) as size from retrieved group by user_id) s on s.user_id = t.user_id""",

@@ -104,7 +104,8 @@ def expanded(spark, folder):
     return wide.select("item_id", F.coalesce("n", F.lit(-1)).alias("n"))
 
 
-@query("c10_lookup_vectors", """select t.row_key, round(u.embedding[1], 6) as u_first, round(i.embedding[64], 6) as i_last
+@query("c10_lookup_vectors", """select t.row_key, round(list_sum(list_transform(u.embedding::double[], lambda x, k: x * k)), 6) as u_every,
+         round(list_sum(list_transform(i.embedding::double[], lambda x, k: x * k)), 6) as i_every
        from test t join embeddings u on u.vec_id = t.user_id % (select count(*) from embeddings)
        join embeddings i on i.vec_id = t.item_id % (select count(*) from embeddings)""")
 def vectors(spark, folder):
@@ -113,7 +114,8 @@ def vectors(spark, folder):
     test = D.split(spark, folder, "test").select("row_key", (F.col("user_id") % n).alias("user_id"), (F.col("item_id") % n).alias("item_id"))
     found = joins.lookup_vectors(test, e.select(F.col("vec_id").alias("user_id"), F.col("embedding").alias("user_vector")),
                                  e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("item_vector")))
-    return found.select("row_key", F.col("user_vector")[0].alias("u_first"), F.col("item_vector")[63].alias("i_last"))
+    return found.select("row_key", D.every_coordinate(F.col("user_vector")).alias("u_every"),
+                        D.every_coordinate(F.col("item_vector")).alias("i_every"))
 
 
 WEIGHTS = [(0.0, 1.0), (0.3, 0.7), (1.0, 0.0)]

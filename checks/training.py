@@ -56,13 +56,13 @@ def candidates(spark, folder):
        from (select row_key as row_id, user_id, item_id, 0 as cand_idx, 1 as label from test union all
              select row_key, user_id, {D.unseen_sql('seen', 'r')}, idx, 0 from (select row_key, user_id, seen, idx,
                {D.draw_sql('(select n from n_items) - len(seen)', 'row_key', 'idx', '44')} as r
-               from test join seen_lists using (user_id), range(1, 20) as d(idx)) where r is not null)
-       join (select user_id, {PADDED.format('list_transform(items, lambda x: x + 1)', 10)}::varchar as ids from s) using (user_id)""",
-       s=SEQUENCES.format(10))
+               from test join seen_lists using (user_id), range(1, 100) as d(idx)) where r is not null)
+       join (select user_id, {PADDED.format('list_transform(items, lambda x: x + 1)', 100)}::varchar as ids from s) using (user_id)""",
+       s=SEQUENCES.format(100))
 def sequence_candidates(spark, folder):
-    seqs = sequences.user_sequences(_train(spark, folder), 10)
+    seqs = sequences.user_sequences(_train(spark, folder), 100)
     made = sampling.sequence_candidates(D.split(spark, folder, "test"), core.user_positives(D.splits(spark, folder)), seqs,
-                                        D.n_items(spark, folder), 10, 19, D.SEED + 2)
+                                        D.n_items(spark, folder), 100, 99, D.SEED + 2)
     return made.withColumn("history", list_text(F.col("history")))
 
 
@@ -73,7 +73,8 @@ def first_pairs(spark, folder):
 
 
 @query("g7_pointwise_training_set", """select p.row_key, p.user_id, p.draw, p.item_id, p.label,
-       round(list_dot_product(u.e, i.e), 6) as dot, round(u.e[1] * i.e[1], 6) as first
+       round(list_dot_product(u.e, i.e), 6) as dot,
+       round(list_sum(list_transform(list_zip(u.e, i.e), lambda x, k: x[1] * x[2] * k)), 6) as every
        from (select row_key, user_id, draw, pos_item as item_id, 1.0::double as label from t union all
              select row_key, user_id, draw, neg_item, 0.0::double from t) p
        join v u on u.vec_id = p.user_id % (select count(*) from embeddings)
@@ -83,7 +84,7 @@ def pointwise(spark, folder):
     made = sampling.bpr_triples(_train(spark, folder), D.n_items(spark, folder), 1)
     users, items = _id_vectors(spark, folder)
     rows = sampling.pointwise_training_set(made, users, items)
-    return rows.select("row_key", "user_id", "draw", "item_id", "label", "dot", F.col("product")[0].alias("first"))
+    return rows.select("row_key", "user_id", "draw", "item_id", "label", "dot", D.every_coordinate(F.col("product")).alias("every"))
 
 
 def _id_vectors(spark, folder):
@@ -106,13 +107,13 @@ def histories(spark, folder):
 @query("h2_next_item_samples", f"""select user_id, position, ids as history, items[position + 1] as target, draw,
          {D.unseen_sql('seen', 'r')} as neg_item
        from (select user_id, items, position, draw, seen,
-               {PADDED.format('list_transform(list_slice(items, 1, position), lambda x: x + 1)', 20)}::varchar as ids,
+               {PADDED.format('list_transform(list_slice(items, 1, position), lambda x: x + 1)', 100)}::varchar as ids,
                {D.draw_sql('(select n from n_items) - len(seen)', 'user_id', 'position', 'draw', str(D.SEED))} as r
-             from s join seen_lists using (user_id), range(1, 20) as p(position), range(0, 2) as d(draw)
-             where position < len(items)) where r is not null""", s=SEQUENCES.format(20))
+             from s join seen_lists using (user_id), range(1, 100) as p(position), range(0, 2) as d(draw)
+             where position < len(items)) where r is not null""", s=SEQUENCES.format(100))
 def next_items(spark, folder):
-    seqs = sequences.user_sequences(_train(spark, folder), 20)
-    samples = sequences.next_item_samples(seqs, core.user_positives(D.splits(spark, folder)), D.n_items(spark, folder), 20, 2)
+    seqs = sequences.user_sequences(_train(spark, folder), 100)
+    samples = sequences.next_item_samples(seqs, core.user_positives(D.splits(spark, folder)), D.n_items(spark, folder), 100, 2)
     return samples.withColumn("history", list_text(F.col("history")))
 
 
@@ -180,7 +181,7 @@ _PROFILE = "select {0}, list(x order by pos) as v from (select {0}, i as pos, av
 
 @query("i4_text_pair_features", """select t.row_key, t.user_id, t.item_id,
          round(list_dot_product(u.v, i.v) / (sqrt(list_dot_product(u.v, u.v)) * sqrt(list_dot_product(i.v, i.v))), 6) as text_cosine,
-         round(u.v[1] * i.v[1], 6) as first, round(u.v[64] * i.v[64], 6) as last
+         round(list_sum(list_transform(list_zip(u.v, i.v), lambda x, k: x[1] * x[2] * k)), 6) as every
        from test t join users u using (user_id) join items i using (item_id)""",
        used=_IN_TRAIN, users=_PROFILE.format("user_id", "used"), items=_PROFILE.format("item_id", "inter"))
 def pair_features(spark, folder):
@@ -193,8 +194,7 @@ def pair_features(spark, folder):
         D.split(spark, folder, "test").select("row_key", *PAIR),
         users.where("has_rows").select("user_id", F.col("vector").alias("user_vector")),
         items.where("has_rows").select("item_id", F.col("vector").alias("item_vector")))
-    return made.select("row_key", *PAIR, "text_cosine", F.col("text_product")[0].alias("first"),
-                       F.col("text_product")[63].alias("last"))
+    return made.select("row_key", *PAIR, "text_cosine", D.every_coordinate(F.col("text_product")).alias("every"))
 
 
 # --- geography and graph ----------------------------------------------------------------------------
@@ -286,7 +286,7 @@ def summaries(spark, folder):
     return joins.union_splits(*made)
 
 
-_DIM = 8
+_DIM = 64
 
 
 @query("j9_propagate", f"""select node, pos, round(sum(x) / 3, 6) as x from

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +43,14 @@ def left_pad(ids: Column | str, length: int, pad: int = 0) -> Column:
 
 def weighted_vectors(df: DataFrame, keys: list[str], vector: str, dim: int, weight: Column | None = None,
                      mean: bool = False, out: str = "vector") -> DataFrame:
-    """Sum (or mean) of the vectors of each key.
+    """Sum (or mean) of the vectors of each key; rows without a vector do not count.
 
-    One aggregate per coordinate: partial sums are made before the shuffle, so a key with very many
-    rows sends one row per task.
+    One aggregate over whole vectors, whatever their length: partial sums are made before the shuffle, so
+    a key with very many rows sends one row per task.  `dim` is the length of the vectors.
     """
-    w = F.lit(1.0) if weight is None else weight
-    fn = F.avg if mean else F.sum
-    sums = [fn(w * F.col(vector)[d].cast("double")).alias(f"_v{d}") for d in range(dim)]
-    grouped = df.groupBy(*keys).agg(*sums)
-    return grouped.select(*keys, F.array(*[F.col(f"_v{d}") for d in range(dim)]).alias(out))
+    numbers = F.col(vector).cast("array<double>")
+    if weight is not None:
+        numbers = F.transform(F.arrays_zip(numbers.alias("x"), F.array_repeat(weight.cast("double"), dim).alias("w")), lambda p: p["x"] * p["w"])
+    rows = df.where(F.col(vector).isNotNull()).select(*keys, array_to_vector(numbers).alias("_v"))
+    total = (Summarizer.mean if mean else Summarizer.sum)(F.col("_v"))
+    return rows.groupBy(*keys).agg(vector_to_array(total).alias(out))

@@ -203,13 +203,17 @@ def itemknn_rating(pairs: DataFrame, neighbours: DataFrame, train: DataFrame, ou
 
 
 def itemknn_recommend(users: DataFrame, neighbours: DataFrame, history: DataFrame, k: int = 10,
-                      without_seen: bool = True, fill_from: int = 0) -> DataFrame:
+                      without_seen: bool = True, fill_from: int | None = None) -> DataFrame:
     """The `k` best items of each user: (user_id, item_id, score, rank), ties by id.
 
     Scores add up over the *history's* neighbour lists, so the work is k rows per interaction.  Items
-    with score zero are not listed, unless `fill_from`, the number of items, is given: then they fill
-    lists that are too short, smallest ids first.
+    that score nothing fill lists that are too short, smallest ids first: those below `fill_from`, the
+    number of items, which is taken from the neighbours and the history if it is not given; with 0 lists
+    stay short.
     """
+    if fill_from is None:
+        ids = neighbours.select(F.greatest("item_id", "neighbour").alias("item_id")).unionByName(history.select("item_id"))
+        fill_from = (ids.agg(F.max("item_id")).first()[0] or -1) + 1
     past = history.join(users.select("user_id").distinct(), "user_id", "left_semi")
     lists = neighbours.select("item_id", "neighbour", "sim")
     scored = past.join(lists, "item_id").groupBy("user_id", F.col("neighbour").alias("item_id")).agg(

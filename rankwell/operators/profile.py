@@ -54,15 +54,53 @@ def running_stats(df: DataFrame, value: str, by: list[str] | None = None) -> Dat
 
 
 def exact_median(df: DataFrame, value: str, approximate: bool = False) -> DataFrame:
-    """The median, the mean of the two middle values for an even count.
+    """The median, the mean of the two middle values for an even count; null without values.
 
-    Equal values are counted first, so the final step holds distinct values only; `approximate` uses
-    a bounded sketch for columns with very many distinct values.
+    The range of the values is narrowed by counts per bucket until the wanted place is a single value, so
+    nothing ever holds the distinct values: a step counts at most SPLITS buckets.  Not-a-number counts as
+    the largest value.  `approximate` uses a bounded sketch instead.
     """
     if approximate:
         return df.agg(F.percentile_approx(value, 0.5).cast("double").alias("median"))
-    histogram = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    return histogram.agg(F.percentile(value, F.lit(0.5), F.col("_n")).alias("median"))
+    values = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    n = values.count()
+    middle = sorted({(n - 1) // 2, n // 2}) if n else []
+    found = [_at_place(values, place) for place in middle]
+    median = sum(found) / len(found) if found else None
+    return df.sparkSession.range(1).select(F.lit(median).cast("double").alias("median"))
+
+
+#: Buckets of a step of the selection; the driver gets a row per bucket.
+SPLITS = 1_024
+
+
+def _at_place(values: DataFrame, place: int) -> float:
+    """The value at `place`, from 0, in the order of `values` (v)."""
+    inf = float("inf")
+    ends = values.groupBy(F.when(F.isnan("v"), 3).when(F.col("v") == inf, 2).when(F.col("v") == -inf, 0).otherwise(1).alias("k")).agg(
+        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("k").collect()
+    for kind in ends:
+        if place < kind["n"]:
+            break
+        place -= kind["n"]
+    low, high = kind["low"], kind["high"]
+    while low < high:
+        # Halves, so that the width of the widest range does not overflow.
+        part = F.floor((F.col("v") / 2 - low / 2) / ((high / 2 - low / 2) or 1.0) * SPLITS)
+        buckets = values.where(F.col("v").between(low, high)).groupBy(F.least(part, F.lit(SPLITS - 1)).alias("b")).agg(
+            F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect()
+        if len(buckets) == 1 and (buckets[0]["low"], buckets[0]["high"]) == (low, high):
+            # Too close for arithmetic: only neighbouring numbers are left, which are few.
+            for row in values.where(F.col("v").between(low, high)).groupBy("v").count().orderBy("v").collect():
+                if place < row["count"]:
+                    return row["v"]
+                place -= row["count"]
+        for bucket in buckets:
+            if place < bucket["n"]:
+                break
+            place -= bucket["n"]
+        low, high = bucket["low"], bucket["high"]
+    return low
 
 
 def _share(n: str = "n", out: str = "pct") -> Column:

@@ -106,7 +106,7 @@ def test_recommendations_use_the_history_side_lists(spark):
     history = core.sum_pairs(train)
     for without_seen in (True, False):
         got = {}
-        for r in knn.itemknn_recommend(train, lists, history, 4, without_seen).collect():
+        for r in knn.itemknn_recommend(train, lists, history, 4, without_seen, fill_from=0).collect():
             got.setdefault(r.user_id, []).append((r["rank"], r.item_id))
         for u in range(60):
             open_items = [i for i in range(37) if scores[i, u] > 1e-12 and not (without_seen and m[u, i] > 0)]
