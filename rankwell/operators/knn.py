@@ -1,9 +1,11 @@
 """Item-based nearest neighbours with exact cosine similarity.
 
 Dot products of item columns are computed tile by tile.  Items are cut in tiles of bounded size; a
-user's items in one tile are one bounded list; a task multiplies the lists of two tiles for a bounded
-set of users in a dense block and sends on one number per item pair.  A user with d items thus adds
-at most (number of tiles)^2 rows to the shuffle instead of d^2, and no group holds all users.
+user's items in one tile are one bounded list; a task multiplies the lists of two tiles and sends on
+one number per item pair.  A user with d items thus adds at most (number of tiles)^2 rows to the
+shuffle instead of d^2, and no group holds all users.  Tile pairs reach a task in order: those with
+few products are summed together and sparsely, those with many in a dense block each, so the work
+follows the products and not the number of items.
 """
 
 from __future__ import annotations
@@ -25,40 +27,172 @@ from rankwell.scratch import staged
 TILE = 1024
 # Users per group: more users make more partial sums of the same item pair.
 USERS_PER_GROUP = 100_000
-# Products held at a time while a block is summed.
-_STEP = 4_000_000
-
-
-def _add_products(block: np.ndarray, batch: pa.RecordBatch, width: int) -> None:
-    """Add the products of two list columns, row by row, to the block of sums."""
-    a, b = batch.column("a"), batch.column("b")
-
-    def parts(column):
-        offsets = column.offsets.to_numpy()
-        values = column.flatten()
-        local = values.field("local").to_numpy(zero_copy_only=False)
-        weight = values.field("weight").to_numpy(zero_copy_only=False)
-        return offsets[:-1] - offsets[0], np.diff(offsets), local, weight
-
-    start_a, len_a, local_a, weight_a = parts(a)
-    start_b, len_b, local_b, weight_b = parts(b)
-    products = len_a.astype("int64") * len_b
-    ends = np.cumsum(products)
-    row = 0
-    while row < len(products):
-        base = ends[row] - products[row]
-        stop = max(row + 1, int(np.searchsorted(ends, base + _STEP, side="right")))
-        rows = np.repeat(np.arange(row, stop), products[row:stop])
-        within = np.arange(len(rows)) - np.repeat(ends[row:stop] - products[row:stop] - base, products[row:stop])
-        left = start_a[rows] + within // len_b[rows]
-        right = start_b[rows] + within % len_b[rows]
-        cells = local_a[left] * width + local_b[right]
-        weights = weight_a[left] * weight_b[right]
-        if len(cells) * 8 < block.size:
-            np.add.at(block, cells, weights)
-        else:
-            block += np.bincount(cells, weights, minlength=block.size)
-        row = stop
+# A user's tiles that meet all its tiles in one task; a user in more tiles is dealt to several.
+TILES_TOGETHER = 64
+# Products held at a time while they are summed.
+_STEP = 1_000_000
+# Item pairs per batch that leaves a task.
+_OUT_ROWS = 200_000
+
+_Sums = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths, places, weights and norms of a column of item lists."""
+    offsets, values = column.offsets.to_numpy(), column.flatten()
+    fields = [values.field(name).to_numpy(zero_copy_only=False) for name in ("local", "weight", "norm")]
+    return offsets[:-1] - offsets[0], np.diff(offsets), *fields
+
+
+def _added(*parts: _Sums) -> _Sums:
+    """Keys in order with their sums; the norms of a key are the same wherever it occurs."""
+    keys, sums, norms = (np.concatenate(column) for column in zip(*parts))
+    if not len(keys):
+        return keys, sums, norms
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(sums[order], first), norms[order][first]
+
+
+def _cell_sums(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[_Sums]:
+    """Sums of the products of two list columns per cell of each tile pair, with the product of both norms.
+
+    Batches are in order of `pair`.  A key is pair * width^2 + cell and is given once.
+    """
+    size = width * width
+    held: _Sums = (np.empty(0, "int64"), np.empty(0), np.empty(0))
+    block, at, norm_a, norm_b = None, -1, np.ones(width), np.ones(width)
+
+    def closed() -> _Sums:
+        found = np.flatnonzero(block)
+        return _added(held, (at * size + found, block[found], norm_a[found // width] * norm_b[found % width]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        pair = batch.column("pair").to_numpy()
+        start_a, len_a, local_a, weight_a, root_a = _lists(batch.column("a"))
+        start_b, len_b, local_b, weight_b, root_b = _lists(batch.column("b"))
+        products = len_a.astype("int64") * len_b
+        ends = np.cumsum(products)
+        # Runs of one tile pair with many products are taken alone, those with few together.
+        runs = np.flatnonzero(np.diff(pair, prepend=-1))
+        heavy = np.add.reduceat(products, runs) * 8 >= size
+        alone = heavy | np.concatenate([[True], heavy[:-1]])
+        cuts = np.append(runs[alone], len(pair))
+        for row, stop, dense in zip(cuts[:-1], cuts[1:], heavy[alone]):
+            if block is not None and not (dense and pair[row] == at):
+                held, block = closed(), None
+            if dense and block is None:
+                block, at = np.zeros(size), int(pair[row])
+            while row < stop:
+                base = ends[row] - products[row]
+                upto = min(stop, max(row + 1, int(np.searchsorted(ends, base + _STEP, side="right"))))
+                rows = np.repeat(np.arange(row, upto), products[row:upto])
+                within = np.arange(len(rows)) - np.repeat(ends[row:upto] - products[row:upto] - base, products[row:upto])
+                left, right = start_a[rows] + within // len_b[rows], start_b[rows] + within % len_b[rows]
+                cells = local_a[left] * width + local_b[right]
+                weights = weight_a[left] * weight_b[right]
+                if dense:
+                    norm_a[local_a[left]], norm_b[local_b[right]] = root_a[left], root_b[right]
+                    if len(cells) * 8 < size:
+                        np.add.at(block, cells, weights)
+                    else:
+                        block += np.bincount(cells, weights, minlength=size)
+                else:
+                    held = _added(held, (pair[rows] * size + cells, weights, root_a[left] * root_b[right]))
+                    done = np.searchsorted(held[0], pair[upto - 1] * size)
+                    yield tuple(column[:done] for column in held)
+                    held = tuple(column[done:] for column in held)
+                row = upto
+    yield closed() if block is not None else held
+
+
+def _best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, near: np.ndarray, k: int) -> pa.RecordBatch:
+    """The `k` best rows of each owner."""
+    order = np.lexsort((other, -near, owner))
+    owner = owner[order]
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    rank = np.arange(len(owner)) - np.repeat(starts, np.diff(np.append(starts, len(owner))))
+    kept = order[rank < k]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(column) for column in (owner[rank < k], other[kept], sim[kept], near[kept])],
+        ["item_id", "neighbour", "sim", "near"])
+
+
+def _tile_lists(cells: DataFrame, tiles: int) -> DataFrame:
+    """Each user's items of each tile as one list, at most a tile long."""
+    return cells.groupBy("user_id", (F.col("item_id") % tiles).cast("long").alias("tile")).agg(
+        F.collect_list(F.struct(F.floor(F.col("item_id") / tiles).cast("long").alias("local"), "weight", "norm")).alias("items"))
+
+
+def _meetings(listed: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides of the join of a user's tiles with each other, on (user_id, salt), and the number of products.
+
+    A user in many tiles gets a salt per `TILES_TOGETHER` of them: its tiles are dealt to the salts on
+    the left and repeated for each salt on the right, so one task joins a bounded number of them to all.
+    """
+    users = listed.groupBy("user_id").agg(F.count("*").alias("_tiles"), F.sum(F.size("items")).cast("double").alias("_items"))
+    products, n_wide = users.agg(
+        F.sum(F.col("_items") * F.col("_items") / 2), F.count_if(F.col("_tiles") > TILES_TOGETHER)).first()
+    salts = F.lit(1)
+    if n_wide:
+        wide = users.where(F.col("_tiles") > TILES_TOGETHER).select(
+            "user_id", F.ceil(F.col("_tiles") / TILES_TOGETHER).cast("int").alias("_salts"))
+        listed = listed.join(small_side(wide, n_wide), "user_id", "left")
+        salts = F.coalesce("_salts", F.lit(1))
+    left = listed.select("user_id", F.pmod(F.xxhash64("tile"), salts).cast("int").alias("salt"),
+                         F.col("tile").alias("ta"), F.col("items").alias("a"))
+    right = listed.select("user_id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
+                          F.col("tile").alias("tb"), F.col("items").alias("b"))
+    return left, right, int(products or 0)
+
+
+def _tiling(cells: DataFrame, tile: int, users_per_group: int) -> tuple[int, int, int]:
+    """Number of tiles, items in a tile, and groups of users; no tiles if there is no row."""
+    n_items, n_users = cells.agg(F.max("item_id") + 1, F.approx_count_distinct("user_id")).first()
+    if not n_items:
+        return 0, 0, 0
+    # Enough tile pairs for every core, with at least 64 items in a tile.
+    cores = cells.sparkSession.sparkContext.defaultParallelism
+    tiles = max(-(-n_items // tile), min(math.isqrt(2 * cores) + 1, -(-n_items // 64)))
+    return tiles, -(-n_items // tiles), -(-n_users // users_per_group)
+
+
+def _tile_products(cells: DataFrame, tiles: int, width: int, groups: int, k: int | None) -> DataFrame:
+    """(item_a < item_b, dot) per group of users, or with `k` (item_id, neighbour, sim, near) with the best in each task.
+
+    `near` is the similarity to nine digits, by which rows are ordered.
+    """
+    left, right, products = _meetings(staged(_tile_lists(cells, tiles), "tiles"))
+    joined = left.join(right, ["user_id", "salt"]).where("ta <= tb").select(
+        (F.col("ta") * tiles + F.col("tb")).alias("pair"),
+        F.pmod(F.xxhash64("user_id"), F.lit(groups)).cast("int").alias("part"), "a", "b")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = width * width
+        for found in _cell_sums(batches, width):
+            for at in range(0, len(found[0]), _OUT_ROWS):
+                keys, sums, norms = (column[at:at + _OUT_ROWS] for column in found)
+                pair, cell = keys // size, keys % size
+                a, b = cell // width * tiles + pair // tiles, cell % width * tiles + pair % tiles
+                # Within one tile both orders of a pair were made.
+                once = (sums != 0) & ((pair // tiles != pair % tiles) | (a < b))
+                a, b, sums, norms = a[once], b[once], sums[once], norms[once]
+                if k is None:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sums)], ["item_a", "item_b", "dot"])
+                    continue
+                sim = sums / norms
+                a, b, sim = a[sim > 0], b[sim > 0], sim[sim > 0]
+                near = np.round(sim, 9)
+                yield _best(np.concatenate([a, b]), np.concatenate([b, a]), np.tile(sim, 2), np.tile(near, 2), k)
+
+    cores = cells.sparkSession.sparkContext.defaultParallelism
+    n_tasks = max(1, min(tiles * (tiles + 1) // 2 * groups, max(cores, min(products // _STEP, 16 * cores))))
+    columns = "item_a long, item_b long, dot double" if k is None else "item_id long, neighbour long, sim double, near double"
+    return joined.repartition(n_tasks, "pair", "part").sortWithinPartitions("pair").drop("part").mapInArrow(multiply, columns)
 
 
 def item_cooccurrence(pairs: DataFrame, weight: str | None = None, tile: int = TILE,
@@ -69,55 +203,24 @@ def item_cooccurrence(pairs: DataFrame, weight: str | None = None, tile: int = T
     shared users.  All pairs are found, whatever the number of items of a user.
     """
     value = F.col(weight).cast("double") if weight else F.lit(1.0)
-    cells = pairs.select("user_id", "item_id", value.alias("weight"))
-    n_items, n_users = cells.agg(
-        F.max("item_id") + 1, F.approx_count_distinct("user_id")).first()
-    if not n_items:
+    cells = pairs.select("user_id", "item_id", value.alias("weight"), F.lit(1.0).alias("norm"))
+    tiles, width, groups = _tiling(cells, tile, users_per_group)
+    if not tiles:
         return pairs.sparkSession.createDataFrame([], "item_a long, item_b long, dot double")
-    # Enough tile pairs for every core, with at least 64 items in a tile.
-    cores = pairs.sparkSession.sparkContext.defaultParallelism
-    tiles = max(-(-n_items // tile), min(math.isqrt(2 * cores) + 1, -(-n_items // 64)))
-    width = -(-n_items // tiles)
-    groups = -(-n_users // users_per_group)
-
-    listed = staged(
-        cells.groupBy("user_id", (F.col("item_id") % tiles).cast("int").alias("tile")).agg(
-            F.collect_list(F.struct(
-                F.floor(F.col("item_id") / tiles).cast("long").alias("local"), "weight")).alias("items")),
-        "tiles")
-    left = listed.select("user_id", F.col("tile").alias("ta"), F.col("items").alias("a"))
-    right = listed.select("user_id", F.col("tile").alias("tb"), F.col("items").alias("b"))
-    joined = left.join(right, (left["user_id"] == right["user_id"]) & (F.col("ta") <= F.col("tb"))).select(
-        "ta", "tb", F.pmod(F.xxhash64(left["user_id"]), F.lit(groups)).cast("int").alias("part"), "a", "b")
-
-    def multiply(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ta, tb = key[0].as_py(), key[1].as_py()
-        block = np.zeros(width * width)
-        for batch in batches:
-            _add_products(block, batch, width)
-        if ta == tb:
-            block = np.triu(block.reshape(width, width), 1).ravel()
-        found = np.flatnonzero(block)
-        for at in range(0, len(found), 200_000):
-            cell = found[at:at + 200_000]
-            a, b = cell // width * tiles + ta, cell % width * tiles + tb
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(block[cell])],
-                ["item_a", "item_b", "dot"])
-
-    n_tasks = min(tiles * (tiles + 1) // 2 * groups, 16 * cores)
-    sums = joined.repartition(max(n_tasks, 1), "ta", "tb", "part").groupBy("ta", "tb", "part").applyInArrow(
-        multiply, "item_a long, item_b long, dot double")
+    sums = _tile_products(cells, tiles, width, groups, None)
     if groups == 1:
         return sums
     return sums.groupBy("item_a", "item_b").agg(F.sum("dot").alias("dot"))
 
 
+def _item_norms(pairs: DataFrame) -> DataFrame:
+    norms = staged(pairs.groupBy("item_id").agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("norm")), "norms")
+    return small_side(norms, norms.count())
+
+
 def item_cosine(pairs: DataFrame, tile: int = TILE, users_per_group: int = USERS_PER_GROUP) -> DataFrame:
     """Cosine of each item pair's rating columns: (item_a < item_b, sim).  `pairs` is summed per pair."""
-    norms = pairs.groupBy("item_id").agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("norm"))
-    norms = staged(norms, "norms")
-    sized = small_side(norms, norms.count())
+    sized = _item_norms(pairs)
     dots = item_cooccurrence(pairs, "rating", tile, users_per_group)
     a = sized.select(F.col("item_id").alias("item_a"), F.col("norm").alias("_a"))
     b = sized.select(F.col("item_id").alias("item_b"), F.col("norm").alias("_b"))
@@ -139,13 +242,30 @@ def topk_neighbours(sims: DataFrame, k: int = 20) -> DataFrame:
     return mirrored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
-def itemknn_fit(train: DataFrame, k: int = 20, combine: str = "sum", tile: int = TILE) -> DataFrame:
+def nearest_items(pairs: DataFrame, k: int = 20, tile: int = TILE, users_per_group: int = USERS_PER_GROUP) -> DataFrame:
+    """`topk_neighbours` of `item_cosine`, without the list of all pairs.
+
+    Where one task sums all of an item pair, similarities are divided there and an item's best `k` of
+    those at hand leave it.  With more groups of users the sums have to be added up first.
+    """
+    # Every rating finds its item's norm, so norms that are all zero divide nothing: such products are dropped.
+    cells = pairs.join(_item_norms(pairs), "item_id").select("user_id", "item_id", F.col("rating").cast("double").alias("weight"), "norm")
+    tiles, width, groups = _tiling(cells, tile, users_per_group)
+    if groups != 1:
+        return topk_neighbours(item_cosine(pairs, tile, users_per_group), k)
+    found = _tile_products(cells, tiles, width, groups, k)
+    best = Window.partitionBy("item_id").orderBy(F.desc("near"), "neighbour")
+    return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).drop("near")
+
+
+def itemknn_fit(train: DataFrame, k: int = 20, combine: str = "sum", tile: int = TILE,
+                users_per_group: int = USERS_PER_GROUP) -> DataFrame:
     """Neighbour lists, written to the shared folder.
 
     Repeated ratings of a pair are added up, or averaged with `combine="mean"` (for rating prediction).
     """
     merged = sum_pairs(train) if combine == "sum" else dedupe_pairs_mean(train)
-    return staged(topk_neighbours(item_cosine(staged(merged, "merged"), tile), k), "neighbours")
+    return staged(nearest_items(staged(merged, "merged"), k, tile, users_per_group), "neighbours")
 
 
 def _products(pairs: DataFrame, neighbours: DataFrame, history: DataFrame, per_row_work: str) -> DataFrame:

@@ -39,19 +39,75 @@ def test_dots_match_matrix_product(spark, tile, per_group):
     assert shared == {k: float(((m[:, k[0]] > 0) & (m[:, k[1]] > 0)).sum()) for k in expected}
 
 
-def test_steps_of_the_block_sum(spark, monkeypatch):
-    # Small steps cut a batch of rows, and a single long row, in several pieces.
-    data = interactions(2)
+@pytest.mark.parametrize("width,step", [(37, 10), (37, 10**6), (4, 10), (4, 10**6), (9, 300)])
+def test_sums_in_steps_dense_and_sparse(monkeypatch, width, step):
+    # Small steps cut a batch of rows, and a single long row, in several pieces; tile pairs go over batches.
+    import pyarrow as pa
+
+    m = matrix(interactions(2))
+    monkeypatch.setattr(knn, "_STEP", step)
+    tiles = -(-37 // width)
+    kind = pa.list_(pa.struct([("local", pa.int64()), ("weight", pa.float64()), ("norm", pa.float64())]))
+
+    def listed(u, t):
+        return [{"local": int(i) // tiles, "weight": m[u, i], "norm": float(i + 1)} for i in np.flatnonzero(m[u]) if i % tiles == t]
+
+    rows = [(ta * tiles + tb, listed(u, ta), listed(u, tb)) for ta in range(tiles) for tb in range(ta, tiles) for u in range(60)]
+    rows = [r for r in rows if r[1] and r[2]]
+    whole = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], kind)],
+        ["pair", "a", "b"])
+    got = {}
+    for keys, sums, norms in knn._cell_sums((whole.slice(at, 7) for at in range(0, len(rows), 7)), width):
+        for key, value, norm in zip(keys.tolist(), sums, norms):
+            pair, cell = divmod(key, width * width)
+            a, b = cell // width * tiles + pair // tiles, cell % width * tiles + pair % tiles
+            assert (a, b) not in got and norm == (a + 1) * (b + 1)
+            got[a, b] = value
+    gram = m.T @ m
+    assert got == {(a, b): gram[a, b] for a in range(37) for b in range(37) if gram[a, b] and a % tiles <= b % tiles}
+
+
+def test_user_in_many_tiles_is_dealt_to_salts(spark, monkeypatch):
+    monkeypatch.setattr(knn, "TILES_TOGETHER", 4)
+    data = interactions(3)
     m = matrix(data)
-    monkeypatch.setattr(knn, "_STEP", 10)
+    pairs = core.sum_pairs(frame(spark, data))
+    cells = pairs.select("user_id", "item_id", F.col("rating").alias("weight"), F.lit(1.0).alias("norm"))
+    left, right, _ = knn._meetings(knn._tile_lists(cells, 37))
+    salts = {r.salt: r["count"] for r in left.where("user_id = 0").groupBy("salt").count().collect()}
+    assert len(salts) >= 7 and sum(salts.values()) == 37 and max(salts.values()) < 15
+    assert right.where("user_id = 0").count() == 37 * 10
+    got = {(r.item_a, r.item_b): r.dot for r in knn.item_cooccurrence(pairs, "rating", 1).collect()}
+    gram = m.T @ m
+    assert got == {(a, b): gram[a, b] for a in range(37) for b in range(a + 1, 37) if gram[a, b] > 0}
+
+
+def test_one_user_with_more_items_than_a_tile(spark):
+    # All similarities are equal, so ties go to the smallest ids across tiles and tasks.
+    pairs = spark.range(150).selectExpr("0L as user_id", "id as item_id", "2.0D as rating")
+    for per_group in (1, 10**6):
+        got = knn.nearest_items(pairs, 3, 16, per_group).where("item_id in (0, 70)").orderBy("item_id", "rank").collect()
+        assert [r.neighbour for r in got] == [1, 2, 3, 0, 1, 2] and all(r.sim == pytest.approx(1.0) for r in got)
+
+
+def test_zero_ratings_and_no_rows(spark):
+    data = [(0, 0, 0.0), (0, 1, 2.0), (1, 0, 0.0), (1, 1, 3.0), (1, 2, 1.0)]
+    assert {(r.item_id, r.neighbour) for r in knn.nearest_items(frame(spark, data), 5).collect()} == {(1, 2), (2, 1)}
+    assert knn.nearest_items(frame(spark, []), 5).collect() == []
+
+
+def test_work_follows_the_products_and_not_the_items(spark, monkeypatch):
+    # 98 x 98 tiles with a few products each: no dense block is made.
+    made = []
+    zeros = np.zeros
+    monkeypatch.setattr(knn.np, "zeros", lambda *a, **k: made.append(a) or zeros(*a, **k))
     import pyarrow as pa
 
-    kind = pa.list_(pa.struct([("local", pa.int64()), ("weight", pa.float64())]))
-    lists = [[{"local": i, "weight": m[u, i]} for i in np.flatnonzero(m[u])] for u in range(60)]
-    batch = pa.RecordBatch.from_arrays([pa.array(lists, kind), pa.array(lists, kind)], ["a", "b"]).slice(3)
-    block = np.zeros(37 * 37)
-    knn._add_products(block, batch, 37)
-    assert np.allclose(block.reshape(37, 37), m[3:].T @ m[3:])
+    kind = pa.list_(pa.struct([("local", pa.int64()), ("weight", pa.float64()), ("norm", pa.float64())]))
+    one = pa.array([[{"local": 3, "weight": 1.0, "norm": 1.0}]] * 5000, kind)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000), pa.int64()), one, one], ["pair", "a", "b"])
+    assert sum(len(keys) for keys, _, _ in knn._cell_sums(iter([batch]), 1024)) == 5000 and not made
 
 
 def sims_of(m):
@@ -73,6 +129,14 @@ def neighbours_of(m, k):
     return out
 
 
+@pytest.mark.parametrize("tile,per_group", [(8, 10**6), (8, 9), (1, 10**6), (64, 10**6)])
+def test_neighbour_lists_without_all_pairs(spark, tile, per_group):
+    data = interactions(6)
+    pairs = core.sum_pairs(frame(spark, data))
+    key = lambda df: sorted((r.item_id, r["rank"], r.neighbour, round(r.sim, 12)) for r in df.collect())
+    assert key(knn.nearest_items(pairs, 4, tile, per_group)) == key(knn.topk_neighbours(knn.item_cosine(pairs, tile, per_group), 4))
+
+
 def test_neighbour_lists_and_scores(spark):
     data = interactions(4)
     m, k = matrix(data), 6
