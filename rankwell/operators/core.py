@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,49 +14,134 @@ from rankwell.operators.joins import BROADCAST_ROWS
 from rankwell.scratch import staged
 
 
-def _drop_rare(edges: DataFrame, key: str, k: int) -> tuple[DataFrame, int]:
-    """Edges of the keys that have at least `k` of them, and the number of keys dropped.
+# Keys are broadcast up to this size; they may be names or addresses of any length.
+BROADCAST_BYTES = 64 << 20
 
-    (user, item) edges are distinct, so a count is a number of partners.  The smaller one of the keys
-    to keep and the keys to drop goes into the join; it is broadcast only if it is known to be small.
-    """
+
+@dataclass
+class _Keys:
+    """Keys to drop, with the number of partners (`_n`) each had left."""
+
+    frame: DataFrame
+    key: str
+    n: int
+    edges: int
+    octets: int
+
+
+@dataclass
+class _Side:
+    """One side of the edges: partners per key when the edges were written, and what happened since."""
+
+    key: str
+    degrees: DataFrame
+    live: int
+    judged: bool = False
+    lost: list[DataFrame] = field(default_factory=list)
+    dropped: list[_Keys] = field(default_factory=list)
+
+
+def _side(edges: DataFrame, key: str) -> _Side:
     degrees = staged(edges.groupBy(key).agg(F.count("*").alias("_n")), "degrees")
-    kept, dropped = degrees.agg(
-        F.count_if(F.col("_n") >= k).alias("kept"), F.count_if(F.col("_n") < k).alias("dropped")).first()
-    if dropped == 0:
-        return edges, 0
-    fewer_kept = kept <= dropped
-    keys = degrees.where(F.col("_n") >= k if fewer_kept else F.col("_n") < k).select(key)
-    if min(kept, dropped) <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    return edges.join(keys, key, "left_semi" if fewer_kept else "left_anti"), dropped
+    return _Side(key, degrees, degrees.count())
+
+
+def _small(df: DataFrame, rows: int, octets: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and octets <= BROADCAST_BYTES else df
+
+
+def _rare(side: _Side, k: int) -> _Keys:
+    """The keys that fell below `k` partners and have some left.
+
+    At first all keys are looked at, then those that the last drop of partners touched.  Keys without any
+    partner left are gone with the partners' edges.
+    """
+    lost = None
+    for part in side.lost:
+        lost = part if lost is None else lost.unionByName(part)
+    before, now = F.col("_n"), F.col("_n")
+    counted = side.degrees
+    if lost is not None:
+        sums = lost.groupBy(side.key).agg(F.sum("_lost").alias("_lost"))
+        if side.judged:
+            last = side.lost[-1].withColumnRenamed("_lost", "_last")
+            counted = counted.join(last, side.key).join(sums, side.key)
+            before = F.col("_n") - F.col("_lost") + F.col("_last")
+        else:
+            counted = counted.join(sums, side.key, "left")
+        now = F.col("_n") - F.coalesce("_lost", F.lit(0))
+    elif side.judged:
+        counted = counted.where("false")
+    fallen = staged(counted.where((now < k) & (F.lit(not side.judged) | (before >= k))).select(side.key, now.alias("_n")), "rare")
+    gone, n, edges, octets = fallen.agg(
+        F.count_if(F.col("_n") == 0), F.count_if(F.col("_n") > 0), F.sum("_n"),
+        F.sum(F.octet_length(F.col(side.key).cast("string")))).first()
+    side.judged = True
+    side.live -= gone
+    return _Keys(fallen.where(F.col("_n") > 0), side.key, n, edges or 0, octets or 0)
+
+
+def _without(edges: DataFrame, side: _Side, k: int) -> DataFrame:
+    """Edges of the keys not dropped, by the keys to keep where those are fewer."""
+    if not side.dropped:
+        return edges
+    n = sum(d.n for d in side.dropped)
+    if not side.lost and len(side.dropped) == 1 and side.live < n:
+        kept = side.degrees.where(F.col("_n") >= k).select(side.key)
+        octets = kept.agg(F.sum(F.octet_length(F.col(side.key).cast("string")))).first()[0]
+        return edges.join(_small(kept, side.live, octets or 0), side.key, "left_semi").select(edges.columns)
+    keys = side.dropped[0].frame.select(side.key)
+    for d in side.dropped[1:]:
+        keys = keys.unionByName(d.frame.select(side.key))
+    return edges.join(_small(keys, n, sum(d.octets for d in side.dropped)), side.key, "left_anti").select(edges.columns)
 
 
 def kcore(df: DataFrame, k: int, user: str = "user_id", item: str = "item_id",
           trace: list[dict] | None = None) -> DataFrame:
     """The distinct (user, item) edges left when rare users, then rare items, are dropped until all are frequent.
 
-    "Rare" means fewer than `k` distinct partners.  Each round's edges are written to the shared
-    folder, so the plan stays short and a lost executor costs one round at most.  `trace` receives
-    the sizes after each round.
+    "Rare" means fewer than `k` distinct partners; rows without a user or item are left out.  Each drop
+    subtracts from the counts of the dropped keys' partners only, and what a drop changes is written to the
+    shared folder, so a lost executor costs one step.  The edges are written again when half of them are
+    gone, and at the end: less than twice in all, besides the first time.  `trace` receives the sizes after
+    each round.
     """
-    edges = staged(df.select(user, item).distinct(), "edges")
+    edges = staged(df.select(user, item).where(F.col(user).isNotNull() & F.col(item).isNotNull()).distinct(), "edges")
+    written = alive = edges.count()
+    sides = {user: _side(edges, user), item: _side(edges, item)}
+    rare = _rare(sides[user], k)
     round_no = 0
     while True:
         round_no += 1
-        after_users, users_dropped = _drop_rare(edges, user, k)
-        if users_dropped:
-            after_users = staged(after_users, "edges")
-        after_items, items_dropped = _drop_rare(after_users, item, k)
-        if items_dropped:
-            after_items = staged(after_items, "edges")
-        edges = after_items
+        dropped = 0
+        for key, partner in ((user, item), (item, user)):
+            side, other = sides[key], sides[partner]
+            if rare.n:
+                dropped += rare.n
+                alive -= rare.edges
+                side.live -= rare.n
+                side.dropped.append(rare)
+                if alive * 2 <= written:
+                    edges = staged(_without(_without(edges, side, k), other, k), "edges")
+                    written = alive
+                    sides = {user: _side(edges, user), item: _side(edges, item)}
+                    sides[key].judged = True  # its rare keys have just been dropped
+                else:
+                    keys = _small(rare.frame.select(key), rare.n, rare.octets)
+                    other.lost.append(staged(edges.join(keys, key, "left_semi").groupBy(partner).agg(
+                        F.count("*").alias("_lost")), "lost"))
+                rare = _rare(sides[partner], k)
+            elif not other.judged:
+                rare = _rare(other, k)
+            else:
+                rare = _Keys(rare.frame, partner, 0, 0, 0)
         if trace is not None:
-            size = edges.agg(F.count_distinct(user).alias("users"), F.count_distinct(item).alias("items"),
-                             F.count("*").alias("edges")).first()
-            trace.append({"round": round_no, **size.asDict()})
-        if not users_dropped and not items_dropped:
-            return edges
+            trace.append({"round": round_no, "users": sides[user].live, "items": sides[item].live, "edges": alive})
+        if not dropped:
+            break
+    if not any(side.dropped for side in sides.values()):
+        return edges
+    return staged(_without(_without(edges, sides[user], k), sides[item], k), "edges")
 
 
 def kcore_trace(df: DataFrame, k: int, user: str = "user_id", item: str = "item_id") -> DataFrame:

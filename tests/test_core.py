@@ -49,13 +49,61 @@ def test_core_matches_brute_force(spark, rows, k):
         assert rows(again) == got
 
 
-def test_core_without_broadcast(spark, rows, monkeypatch):
-    monkeypatch.setattr(core, "BROADCAST_ROWS", 0)
+def brute_trace(edges, k):
+    edges, out = set(edges), []
+    while True:
+        size = len(edges)
+        for side in (0, 1):
+            degree = {}
+            for e in edges:
+                degree[e[side]] = degree.get(e[side], 0) + 1
+            edges = {e for e in edges if degree[e[side]] >= k}
+        out.append((len({u for u, _ in edges}), len({i for _, i in edges}), len(edges)))
+        if len(edges) == size:
+            return out
+
+
+@pytest.mark.parametrize("limit", ["BROADCAST_ROWS", "BROADCAST_BYTES"])
+def test_core_without_broadcast(spark, rows, monkeypatch, limit):
+    monkeypatch.setattr(core, limit, 0)
     rng = random.Random(3)
     pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(500)]
     assert rows(core.kcore(frame(spark, pairs), 10)) == sorted(brute_core(pairs, 10))
 
 
+@pytest.mark.parametrize("seed,k,users,items,n", [(1, 2, 30, 30, 50), (2, 3, 40, 25, 120), (3, 5, 60, 30, 330), (4, 4, 200, 12, 500), (5, 2, 9, 9, 9)])
+def test_core_rounds_match_brute_force(spark, rows, seed, k, users, items, n):
+    rng = random.Random(seed)
+    pairs = [(int(rng.paretovariate(0.7)) % users, rng.randrange(items)) for _ in range(n)]
+    trace = []
+    assert rows(core.kcore(frame(spark, pairs), k, trace=trace)) == sorted(brute_core(pairs, k))
+    assert [(t["users"], t["items"], t["edges"]) for t in trace] == brute_trace(pairs, k)
+
+
+def test_long_chain_writes_the_edges_twice_at_most(spark, rows, monkeypatch):
+    # A block that stays, and a chain that loses one user and one item a round.
+    pairs = [(u, i) for u in range(8) for i in range(8)]
+    for n in range(12):
+        pairs += [(100 + n, 100 + n), (100 + n, 101 + n)]
+    written = []
+    stage = core.staged
+    monkeypatch.setattr(core, "staged", lambda df, label, *a: written.append((label, (out := stage(df, label, *a)).count())) or out)
+    trace = []
+    assert rows(core.kcore(frame(spark, pairs), 2, trace=trace)) == [(u, i) for u in range(8) for i in range(8)]
+    assert len(trace) >= 6
+    assert sum(n for label, n in written if label == "edges") < 2 * len(pairs)
+    assert sum(n for label, n in written if label in ("lost", "rare")) <= 6 * len(pairs) // 4
+
+
+def test_core_leaves_out_rows_without_key_and_empty_tables(spark, rows):
+    pairs = [(u, i) for u in (0, 1) for i in (0, 1)] + [(None, 0), (0, None), (None, None)]
+    assert rows(core.kcore(frame(spark, pairs), 2)) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    trace = []
+    assert rows(core.kcore(frame(spark, []), 2, trace=trace)) == []
+    assert trace == [{"round": 1, "users": 0, "items": 0, "edges": 0}]
+    assert rows(core.kcore(frame(spark, [(0, 0), (1, 1)]), 2)) == []
+
+
 def test_restrict_keeps_repeated_rows(spark):
     pairs = [(u, i) for u in range(3) for i in range(3)] + [(0, 0)] * 4 + [(7, 0)]
     df = frame(spark, pairs)
