@@ -14,6 +14,7 @@ from rankwell.operators import (
     aspects, blending, core, factors, fusion, geo, joins, knn, metrics, popular, profile, reports, retrieval, sampling,
     sequence_models, sequences, stacking, text,
 )
+from rankwell.scratch import staged
 
 CUTS = ["hr_5", "hr_10", "hr_20", "ndcg_5", "ndcg_10", "ndcg_20"]
 
@@ -117,6 +118,21 @@ def latent(spark, folder):
     return metrics.evaluate_ranking(scored)
 
 
+# Which items are listed depends on the fit; how many are, none of them known, in falling order, does not.
+@query("k10_latent_factor_lists", """select t.user_id, least(200, (select count(distinct item_id) from train) - count(distinct t.item_id)) as n_listed,
+         0 as n_known, least(200, (select count(distinct item_id) from train) - count(distinct t.item_id)) as last_rank, 0 as n_rising
+       from train t group by t.user_id
+       having (select count(distinct item_id) from train) > count(distinct t.item_id)""")
+def latent_lists(spark, folder):
+    train = _train(spark, folder)
+    lists = staged(factors.top_items(_factors(spark, folder), train, train, 200), "factor-lists")
+    known = lists.join(train.select(*PAIR), PAIR, "left_semi").groupBy("user_id").agg(F.count("*").alias("n_known"))
+    before = lists.select("user_id", (F.col("rank") + 1).alias("rank"), F.col("score").alias("above"))
+    sized = lists.join(before, ["user_id", "rank"], "left").groupBy("user_id").agg(
+        F.count("*").alias("n_listed"), F.max("rank").alias("last_rank"), F.count_if(F.col("score") > F.col("above")).alias("n_rising"))
+    return sized.join(known, "user_id", "left").na.fill(0, ["n_known"])
+
+
 @query("k11_latent_factor_rating")
 def latent_rating(spark, folder):
     model = factors.latent_factor_rating(_train(spark, folder), dim=4, iterations=3)
@@ -153,8 +169,6 @@ def _inputs(spark, folder):
 
 @query("k13_fusion_ranker")
 def fused(spark, folder):
-    from rankwell.scratch import staged
-
     made = _inputs(spark, folder)
     texts = {"user_text": made.user_text, "item_text": made.item_text, "text_dim": D.DIM}
     variants = {
@@ -481,8 +495,6 @@ def _retrieved(spark, folder):
 
 
 def _pool(spark, folder):
-    from rankwell.scratch import staged
-
     return retrieval.inject_truth(D.split(spark, folder, "test"), staged(_retrieved(spark, folder), "retrieved"), N)
 
 
@@ -525,6 +537,12 @@ def stacked(spark, folder):
     return metrics.evaluate_ranking(stacking.stack_predict(_stack(spark, folder), test, D.MODELS), "stacked")
 
 
+@query("m12_stack_pairs")
+def stacked_by_pairs(spark, folder):
+    val, test = (blending.minmax_by_user(D.scores(spark, folder, part), D.MODELS) for part in ("val", "test"))
+    return metrics.evaluate_ranking(stacking.pair_stack_fit(val, D.MODELS).predict(test), "stacked")
+
+
 @query("m13_feature_importance")
 def importance(spark, folder):
     return stacking.feature_importance(D.scores(spark, folder), _stack(spark, folder), D.MODELS)
