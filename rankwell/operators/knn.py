@@ -190,7 +190,7 @@ def _tile_products(cells: DataFrame, tiles: int, width: int, groups: int, k: int
                 yield _best(np.concatenate([a, b]), np.concatenate([b, a]), np.tile(sim, 2), np.tile(near, 2), k)
 
     cores = cells.sparkSession.sparkContext.defaultParallelism
-    n_tasks = max(1, min(tiles * (tiles + 1) // 2 * groups, max(cores, min(products // _STEP, 16 * cores))))
+    n_tasks = max(1, min(tiles * (tiles + 1) // 2 * groups, max(2 * cores, min(products // _STEP, 16 * cores))))
     columns = "item_a long, item_b long, dot double" if k is None else "item_id long, neighbour long, sim double, near double"
     return joined.repartition(n_tasks, "pair", "part").sortWithinPartitions("pair").drop("part").mapInArrow(multiply, columns)
 
