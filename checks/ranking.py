@@ -192,14 +192,49 @@ def multitask(spark, folder):
     return metrics.evaluate_ranking(model.score(D.candidates(spark, folder)))
 
 
+def _aspect_inputs(spark, folder):
+    """Features of pairs from training rows alone: aspect means of both sides and the product of their texts."""
+    n_users, n_items = core.n_users_items(D.splits(spark, folder))
+    train = staged(D.vectors_of(D.splits(spark, folder), spark, folder).where(F.col("split") == "train"), "train-vectors")
+    side = lambda key, n, name: staged(
+        text.average_vectors_by_id(train, key, "embedding", D.DIM, n).select(key, F.col("vector").alias(name)), "text-profile")
+    users, items = side("user_id", n_users, "user_vector"), side("item_id", n_items, "item_vector")
+
+    def ready(pairs, own=False):
+        made = aspects.aspect_pair_features(text.text_pair_features(pairs, users, items), train, own=own)
+        return made.withColumn("features", F.concat("aspect_means", "text_product"))
+
+    dim = D.DIM + 2 * len(S.VECTOR_ASPECTS)
+    model = aspects.aspect_regressors(ready(train.select(*PAIR, *S.VECTOR_ASPECTS), own=True), "features", dim)
+    weights = staged(aspects.user_aspect_weights(train), "aspect-weights")
+    return lambda pairs: aspects.decomposed_score(aspects.predict_aspects(ready(pairs), model, "features"), weights)
+
+
 @query("k15_aspect_regressors")
 def regressors(spark, folder):
-    rows = D.vectors_of(D.splits(spark, folder), spark, folder)
-    train = rows.where(F.col("split") == "train")
-    models = aspects.aspect_regressors(train, "embedding")
-    hats = aspects.predict_aspects(rows.where(F.col("split") == "test"), models, "embedding")
-    scored = aspects.decomposed_score(hats, aspects.user_aspect_weights(train))
-    return scored.select("row_key", *[f"{a}_hat" for a in S.VECTOR_ASPECTS], "score")
+    """Aspects of test pairs; neither their ratings nor their texts are read."""
+    pairs = D.split(spark, folder, "test").select("row_key", *PAIR)
+    scored = _aspect_inputs(spark, folder)(pairs)
+    return scored.select("row_key", *PAIR, *[f"{a}_hat" for a in S.VECTOR_ASPECTS], "score")
+
+
+@query("k15_aspect_ranking")
+def aspect_ranking(spark, folder):
+    """The same score over the candidates of every test row."""
+    return metrics.evaluate_ranking(_aspect_inputs(spark, folder)(D.candidates(spark, folder)))
+
+
+@query("k15_aspect_lines", " union all ".join(
+           f"""select '{a}' as aspect, regr_count({a}, mean_rating) as n, round(regr_slope({a}, mean_rating), 6) as slope,
+       round(regr_intercept({a}, mean_rating), 6) as intercept from joined""" for a in S.VECTOR_ASPECTS),
+       joined="select t.*, m.mean_rating from train t join item_means m using (item_id)")
+def aspect_lines(spark, folder):
+    """All lines on one feature, the item's mean rating, without a ridge."""
+    train = _train(spark, folder)
+    means = train.groupBy("item_id").agg(F.array(F.avg("rating")).alias("features"))
+    model = aspects.aspect_regressors(train.join(means, "item_id"), "features", 1, regularisation=0.0)
+    lines = [(a, model.counts[a], model.coefficients[a][0], model.intercepts[a]) for a in S.VECTOR_ASPECTS]
+    return spark.createDataFrame(lines, "aspect string, n long, slope double, intercept double")
 
 
 _LOGITS = "select user_id, [" + ", ".join(f"coalesce(covar_samp({a}, rating), 0)" for a in S.VECTOR_ASPECTS) + \
