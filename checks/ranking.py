@@ -272,10 +272,32 @@ def attention(spark, folder):
 @query("k19_sequence_ranker")
 def sequence_model(spark, folder):
     seqs = sequences.user_sequences(_train(spark, folder), 50)
-    model = sequence_models.sequence_ranker(seqs, dim=8, iterations=1)
+    model = sequence_models.sequence_ranker(seqs)
     return metrics.evaluate_ranking(model.score(D.candidates(spark, folder)))
 
 
+@query("k19_sequence_cooccurrence", """select prev_item, item_id, count(*) as n, round(sum(1.0::double / d), 6) as weight
+       from (select items[p] as prev_item, items[p + d] as item_id, d
+             from seqs, range(1, 51) as a(p), range(1, 6) as b(d) where p + d <= len(items))
+       where prev_item <> item_id group by all""", seqs=SEQUENCES.format(50))
+def sequence_counts(spark, folder):
+    return sequence_models.sequence_cooccurrence(sequences.user_sequences(_train(spark, folder), 50))
+
+
+@query("k19_sequence_users", """select s.user_id, count(distinct i)::bigint as n_known, 32::bigint as dim
+       from (select user_id, unnest(items) as i from seqs) s
+       where i in (select items[p] from seqs, range(1, 51) as a(p), range(1, 6) as b(d)
+                   where p + d <= len(items) and items[p] <> items[p + d]) group by s.user_id""", seqs=SEQUENCES.format(50))
+def sequence_users(spark, folder):
+    """Users with a vector, its length and the number of items it is made of."""
+    seqs = sequences.user_sequences(_train(spark, folder), 50)
+    model = sequence_models.sequence_ranker(seqs)
+    known = sequence_models.sequence_cooccurrence(seqs).select(F.col("prev_item").alias("item_id")).distinct()
+    n = seqs.select("user_id", F.explode("items").alias("item_id")).distinct().join(known, "item_id", "left_semi")
+    n = n.groupBy("user_id").agg(F.count("*").alias("n_known"))
+    return model.users.join(n, "user_id", "left").select("user_id", "n_known", F.size("user_vector").alias("dim"))
+
+
 STEPS = {
     "steps": """select * from (select user_id, item_id, lag(item_id) over (partition by user_id order by ts, event_id) as prev_item
         from event_inter) where prev_item is not null""",
