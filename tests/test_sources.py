@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import tarfile
 import zipfile
 
@@ -102,6 +103,58 @@ def test_corrupt_members_are_an_error_or_a_row(spark, tmp_path):
     assert [r.member for r in archives.corrupt_members(spark, str(tmp_path)).collect()] == ["bad.json"]
 
 
+def _found(text, **limits):
+    return list(archives._records(archives._line_parts(io.BytesIO(text.encode()), **limits)))
+
+
+BROKEN = ['{"a": 1,', '{"a": "x', '{"a": [', '{"a": {"b": 1}', '{', '{"a": 1}}', "words", '"a": 2}', "[", "17"]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_members_lose_no_good_object(seed):
+    """Objects on one line, on several and side by side, between broken ones: all good ones are found."""
+    draw = random.Random(seed)
+    good, text = 0, []
+    for _ in range(draw.randint(1, 30)):
+        if draw.random() < 0.3:
+            text.append(draw.choice(BROKEN) + "\n")
+            continue
+        record = {"id": good, "text": draw.choice(["{", "}", "a\nb", '\\"', "\u2028"]), "p": {"q": [{"r": 1}, {"s": {}}]}}
+        good += 1
+        text.append(json.dumps(record, indent=draw.choice([None, None, 0, 2]), ensure_ascii=False) + draw.choice(["\n", "\n", "\n\n"]))
+    for longest in (7, 1 << 20):
+        ids = []
+        for kind, piece in _found("".join(text), longest=longest):
+            value = archives._is_object(piece) and json.loads(piece)
+            ids += [value["id"]] if kind == "object" and value and "id" in value else []
+        if longest > 7:
+            assert sorted(ids) == list(range(good))
+        else:  # parts of lines: no object is given twice
+            assert len(ids) == len(set(ids))
+
+
+def test_broken_first_lines_and_lists_of_them(spark, tmp_path):
+    many = [{"author": f"u{k}", "hotel_url": "h", "rating": 3} for k in range(50)]
+    lines = "\n".join(json.dumps(r) for r in many)
+    pretty = "\n".join(json.dumps(r, indent=2) for r in many[:5])
+    members = {"bad_first.txt": '{"author": "x", \n' + lines, "bad_last.jsonl": lines + '\n{"author": "cut', "several.json": pretty,
+               "words.txt": "header\n" + lines, "beside.json": "".join(json.dumps(r) for r in many), "after.json": "[1]\n" + lines,
+               "one.json": json.dumps(many[0], indent=1), "only_bad.json": '{"author": {'}
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z, tarfile.open(tmp_path / "x.tgz", "w:gz") as t:
+        for name, text in members.items():
+            z.writestr(name, text)
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            t.addfile(info, io.BytesIO(text.encode()))
+    want = {"bad_first.txt": 50, "bad_last.jsonl": 50, "several.json": 5, "words.txt": 50, "beside.json": 50, "after.json": 50, "one.json": 1}
+    assert per_member(archives.read_reviews_zip(spark, str(tmp_path))) == want
+    assert per_member(archives.read_reviews_tar(spark, str(tmp_path))) == want
+    faults = [(r.member, r.text) for r in archives.faulty_archive_records(spark, str(tmp_path)).collect()]
+    assert sorted(faults) == sorted(2 * [
+        ("bad_first.txt", '{"author": "x", '), ("bad_last.jsonl", '{"author": "cut'), ("words.txt", "header"), ("after.json", "1"),
+        ("only_bad.json", '{"author": {')])
+
+
 def test_mixed_folder_keeps_every_row(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(GOOD))
     (tmp_path / "b.jsonl").write_text(LINES)
