@@ -109,7 +109,7 @@ def knn_ratings(spark, folder):
 # --- fitted recommenders (checked by rows) ----------------------------------------------------------
 
 def _factors(spark, folder):
-    return factors.latent_factor_ranker(_train(spark, folder), dim=8, iterations=3)
+    return factors.latent_factor_ranker(_train(spark, folder))
 
 
 @query("k10_latent_factor_ranker")
@@ -135,7 +135,7 @@ def latent_lists(spark, folder):
 
 @query("k11_latent_factor_rating")
 def latent_rating(spark, folder):
-    model = factors.latent_factor_rating(_train(spark, folder), dim=4, iterations=3)
+    model = factors.latent_factor_rating(_train(spark, folder))
     return metrics.rating_errors(factors.predict_rating(model, _pairs(spark, folder)))
 
 
