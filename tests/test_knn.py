@@ -221,3 +221,36 @@ def test_rating_prediction(spark):
             if weight > 0:
                 expected = (top[r.item_id] * m[r.user_id]).sum() / weight
         assert r.predicted == pytest.approx(min(max(expected, 1), 5), abs=1e-6)
+
+
+@pytest.mark.parametrize("longest,products,step", [(4096, 4_000_000, 10**6), (5, 60, 40), (3, 400, 7)])
+def test_parts_hold_all_of_an_items_pairs(spark, monkeypatch, longest, products, step):
+    # Few of many possible pairs share a user: lists go to parts, whatever the number of users, and nothing is added up later.
+    data = [(u, i * 40 + 3, r) for u, i, r in interactions(4)]
+    monkeypatch.setattr(knn, "LIST", longest)
+    monkeypatch.setattr(knn, "PART_PRODUCTS", products)
+    monkeypatch.setattr(knn, "_STEP", step)
+    monkeypatch.setattr(knn, "_tile_products", lambda *a: pytest.fail("tiles taken"))
+    m = matrix([(u, i, r) for u, i, r in data], items=37 * 40)
+    gram = m.T @ m
+    pairs = core.sum_pairs(frame(spark, data))
+    dots = knn.item_cooccurrence(pairs, "rating", users_per_group=7).collect()
+    assert len(dots) == len({(r.item_a, r.item_b) for r in dots})
+    assert {(r.item_a, r.item_b): r.dot for r in dots} == {
+        (a, b): gram[a, b] for a, b in zip(*np.nonzero(np.triu(gram, 1)))}
+    norms = np.sqrt(np.diag(gram))
+    expected = set()
+    for a in np.flatnonzero(norms):
+        near = [(-round(gram[a, b] / (norms[a] * norms[b]), 9), b) for b in np.flatnonzero(gram[a]) if a != b]
+        expected |= {(a, b, n) for n, (_, b) in enumerate(sorted(near)[:4], 1)}
+    got = knn.nearest_items(pairs, 4, users_per_group=7).collect()
+    assert {(r.item_id, r.neighbour, r.rank) for r in got} == expected
+    assert all(abs(r.sim - gram[r.item_id, r.neighbour] / (norms[r.item_id] * norms[r.neighbour])) < 1e-12 for r in got)
+
+
+def test_parts_leave_out_rows_without_ids_and_keep_fractions(spark):
+    data = [(1, 1, 0.1), (1, 900, 0.7), (2, 1, 0.3), (2, 900, 0.2), (None, 1, 1.0), (None, 5, 1.0), (2, None, 1.0)]
+    pairs = frame(spark, data)
+    (row,) = knn.item_cooccurrence(pairs, "rating").collect()
+    assert (row.item_a, row.item_b) == (1, 900) and abs(row.dot - 0.13) < 1e-15
+    assert {(r.item_id, r.neighbour) for r in knn.nearest_items(pairs).collect()} == {(1, 900), (900, 1)}
