@@ -91,3 +91,18 @@ def test_next_item_samples(spark):
 
 def test_last_item(spark, rows):
     assert rows(sequences.last_item(history(spark), ["date", "row_key"])) == [(1, 8), (2, 4)]
+
+
+def test_draws_of_light_users_are_made_in_steps_of_rows(spark, monkeypatch):
+    # Lists are searched for many draws at once; rows without a key or a user, and users with every item, as before.
+    monkeypatch.setattr(sampling, "_DRAWS", 7)
+    taken = {0: set(range(9)), 1: {0, 1, 8}, 2: {4}}
+    positives = spark.createDataFrame([(u, i) for u, all_ in taken.items() for i in all_], "user_id long, item_id long")
+    rows = spark.createDataFrame([(f"k{n}" if n % 5 else None, n % 4 if n % 7 else None, [n]) for n in range(40)],
+                                 "row_key string, user_id long, kept array<long>")
+    drawn = sampling.draw_unseen(rows, positives, 9, 2, 4, 42, ["row_key"])
+    assert "MapInArrow" in drawn._jdf.queryExecution().toString()
+    expected = sorted(
+        (str(r.row_key), str(r.user_id), r.kept, d, draw(9, taken.get(r.user_id, ()), *([r.row_key] if r.row_key else []), d, 42))
+        for r in rows.collect() if r.user_id != 0 for d in (2, 3, 4))
+    assert sorted((str(r.row_key), str(r.user_id), r.kept, r.draw, r.neg_item) for r in drawn.collect()) == expected
