@@ -53,3 +53,16 @@ def test_ranking_shuffles_candidates_once(spark):
         F.col("id").cast("string").alias("row_id"), F.lit(0).alias("cand_idx"), F.lit(0.5).alias("score"))
     text = plan(metrics.evaluate_ranking(pool))
     assert text.count("Arguments: hashpartitioning") == 1
+
+
+def test_splits_are_written_without_sorting(spark, tmp_path, monkeypatch):
+    # A sort by split holds a whole file's rows in a task.
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    names = ["spark.sql.maxConcurrentOutputFileWriters", "spark.sql.optimizer.plannedWrite.enabled"]
+    before, write, seen = [spark.conf.get(n) for n in names], DataFrameWriter.parquet, []
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *a, **k: seen.append(int(spark.conf.get(names[0]))) or write(*a, **k))
+    core.split_to_tables(spark.range(30).withColumn("split", F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") % 3 + 1).cast("int"))),
+                         f"{tmp_path}/s")
+    assert seen[0] >= 3 and [spark.conf.get(n) for n in names] == before
+    assert {r.split: r["count"] for r in spark.read.parquet(f"{tmp_path}/s").groupBy("split").count().collect()} == dict.fromkeys("abc", 10)
