@@ -66,3 +66,11 @@ def test_splits_are_written_without_sorting(spark, tmp_path, monkeypatch):
                          f"{tmp_path}/s")
     assert seen[0] >= 3 and [spark.conf.get(n) for n in names] == before
     assert {r.split: r["count"] for r in spark.read.parquet(f"{tmp_path}/s").groupBy("split").count().collect()} == dict.fromkeys("abc", 10)
+
+
+def test_recommended_items_meet_the_known_ones_in_one_shuffle(spark):
+    history = spark.range(20).selectExpr("id % 4 as user_id", "id as item_id", "1.0D as rating")
+    lists = spark.range(20).selectExpr("id as item_id", "(id + 1) % 20 as neighbour", "0.5D as sim", "1L as rank")
+    made = knn.itemknn_recommend(history, lists, history, 3, fill_from=0)
+    assert "LeftAnti" not in plan(made)
+    assert {(r.user_id, r.item_id) for r in made.collect()} <= {(u, i) for u in range(4) for i in range(20) if i % 4 != u}
