@@ -54,3 +54,27 @@ def test_neighbour_scores_are_not_made_of_shuffled_terms(spark, small_blocks, mo
         assert seen("auto") == seen("pairs") == seen("history")
     if longest == 4096:
         assert "SortMergeJoin" not in _plan(knn.itemknn_score(pairs, near, history))
+
+
+def test_vector_means_hold_one_sum_at_a_time(spark, monkeypatch):
+    from rankwell.functions import vectors
+
+    monkeypatch.setattr(vectors, "_SUM_BYTES", 7 * 16)  # seven rows at a time
+    n = F.col("id")
+    key = F.when(n % 11 != 0, F.when(n % 2 == 0, 0).otherwise(n % 40)).cast("long")
+    rows = spark.range(500, numPartitions=3).select(key.alias("k"), F.concat(F.lit("s"), n % 3).alias("t"), F.when(n % 7 != 0, F.array(n * 1.0, -n * 0.5)).alias("v"))
+    for kind in ("float", "double"):
+        typed = rows.withColumn("v", F.col("v").cast(f"array<{kind}>"))
+        made = vectors.mean_vectors(typed, ["k", "t"], "v", 2)
+        expected = typed.where("v is not null").groupBy("k", "t").agg(*[F.avg(F.col("v")[i].cast("double")).alias(f"x{i}") for i in (0, 1)])
+        assert {(r.k, r.t): pytest.approx([r.x0, r.x1]) for r in expected.collect()} == {(r.k, r.t): r.vector for r in made.collect()}
+    assert vectors.mean_vectors(rows.where("false"), ["k"], "v", 2).collect() == []
+
+
+def test_means_of_profiles_send_no_sums_of_one_row(spark):
+    from rankwell.operators import text
+
+    rows = spark.range(300).select((F.col("id") % 100).alias("user_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("v"))
+    made = text.average_vectors_by_id(rows, "user_id", "v", 2, 101)
+    assert "ObjectHashAggregate" not in _plan(made)
+    assert {r.user_id: r.vector for r in made.collect()} == {i: [i + 100.0, 1.0] for i in range(100)} | {100: [0.0, 0.0]}
