@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwell.functions import scalars as S
+from rankwell.scratch import staged
 
 
 def frequency_counts(df: DataFrame, key: str, out: str = "n") -> DataFrame:
@@ -62,7 +63,8 @@ def exact_median(df: DataFrame, value: str, approximate: bool = False) -> DataFr
     """
     if approximate:
         return df.agg(F.percentile_approx(value, 0.5).cast("double").alias("median"))
-    values = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    # Written once, as every step reads them again.
+    values = staged(df.select(F.col(value).cast("double").alias("v")).where("v is not null"), "values")
     n = values.count()
     middle = sorted({(n - 1) // 2, n // 2}) if n else []
     found = [_at_place(values, place) for place in middle]

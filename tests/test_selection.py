@@ -27,6 +27,19 @@ def test_median_of_nothing(spark):
     assert np.isnan(profile.exact_median(spark.createDataFrame([(float("nan"),)], "v double"), "v").first()["median"])
 
 
+def test_median_reads_its_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(3_001).select((F.col("id") % 997).cast("double").alias("v")).mapInArrow(seen, "v double")
+    assert profile.exact_median(df, "v").first()["median"] == statistics.median(i % 997 for i in range(3_001))
+    assert read.value == 3_001
+
+
 def test_vector_sums_are_one_aggregate(spark):
     rng = np.random.default_rng(7)
     rows = [(int(k), rng.normal(size=64).tolist(), float(w)) for k, w in zip(rng.integers(0, 9, 500), rng.normal(size=500))]
