@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rankwell.operators import factors, joins, knn
+from rankwell.operators import aspects, factors, fusion, joins, knn, text
 
 
 @pytest.fixture
@@ -78,3 +78,43 @@ def test_means_of_profiles_send_no_sums_of_one_row(spark):
     made = text.average_vectors_by_id(rows, "user_id", "v", 2, 101)
     assert "ObjectHashAggregate" not in _plan(made)
     assert {r.user_id: r.vector for r in made.collect()} == {i: [i + 100.0, 1.0] for i in range(100)} | {100: [0.0, 0.0]}
+
+
+def _profiles(spark, key, name, n=50):
+    return spark.range(n).select(F.col("id").alias(f"{key}_id"), F.array(F.col("id") * 1.0, F.lit(1.0)).alias(name))
+
+
+def test_features_are_not_shuffled_with_pairs(spark, small_blocks):
+    pairs = spark.range(500).select((F.col("id") % 60).alias("user_id"), (F.col("id") % 49).alias("item_id"), "id")
+    base = factors.Factors(_profiles(spark, "user", "user_vector"), _profiles(spark, "item", "item_vector"), 2)
+    weights = spark.range(40).select(F.col("id").alias("user_id"), F.array(*[F.lit(float(i)) for i in range(6)]).alias("weights"))
+    item_aspects = spark.range(50).select(F.col("id").alias("item_id"), *[F.lit(3.0).alias(a) for a in aspects.S.VECTOR_ASPECTS])
+    inputs = fusion.Inputs(base, _profiles(spark, "user", "vector"), _profiles(spark, "item", "vector", 30), 2, weights, item_aspects)
+    made = inputs.add(pairs)
+    assert _plan(made).count("Exchange") == 3 and "SortMergeJoin" not in _plan(made)  # the pairs and each side, once
+    assert inputs.add(made) is made
+    got = {r.id: r for r in made.collect()}
+    for i, r in got.items():
+        u, v = i % 60, i % 49
+        assert r.factor_product == ([u * v, 1.0] if u < 50 else [0.0, 0.0]) and r.factor_concat == [*([u, 1.0] if u < 50 else [0.0, 0.0]), v, 1.0]
+        assert r.text_product == ([u * v, 1.0] if u < 50 and v < 30 else [0.0, 0.0])
+        assert r.quality == pytest.approx(45.0 if u < 40 else 3.0)
+    assert len(got) == 500
+
+
+def test_aspects_of_pairs_take_one_lookup(spark, small_blocks):
+    pairs = spark.range(300).select((F.col("id") % 53).alias("user_id"), (F.col("id") % 49).alias("item_id"), "id")
+    train = spark.range(200).select((F.col("id") % 40).alias("user_id"), (F.col("id") % 45).alias("item_id"),
+                                    (F.col("id") % 5 + 1.0).alias("service"), F.lit(None).cast("double").alias("rooms"))
+    names = ["service", "rooms"]
+    users, items = _profiles(spark, "user", "user_vector"), _profiles(spark, "item", "item_vector")
+    apart = aspects.aspect_pair_features(text.text_pair_features(pairs, users, items), train, names)
+    of_users, of_items = aspects.aspect_sides(train, names)
+    users, items = users.join(of_users, "user_id", "left").localCheckpoint(), items.join(of_items, "item_id", "left").localCheckpoint()
+    looked_up = text.text_pair_features(pairs, users, items)
+    assert _plan(looked_up).count("Exchange") == 3 and "SortMergeJoin" not in _plan(looked_up)
+    together = aspects.aspect_pair_features(looked_up, train, names)
+    assert together.columns == apart.columns
+    assert sorted(map(str, together.collect())) == sorted(map(str, apart.collect()))
+    scored = spark.createDataFrame([(1, 2, 2.0, 4.0, [0.25, 0.75])], "user_id long, item_id long, service_hat double, rooms_hat double, _weights array<double>")
+    assert [r.score for r in aspects.decomposed_score(scored, None, names).collect()] == [3.5]
