@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -58,6 +59,12 @@ def per_worker(key: str, build: Callable[[], Any]) -> Any:
     return holder.value
 
 
+def nothing_kept() -> None:
+    """Drop what `per_worker` holds in this Python worker."""
+    sys.modules.pop("_kept_in_worker", None)
+    gc.collect()  # what was kept may refer to itself
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and where each value starts (one more at the end); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankwell.llm.shared import chunks, mix, narrow, per_worker
+from rankwell.llm.shared import bounded_batches, chunks, mix, narrow, nothing_kept, per_worker
 from rankwell.scratch import staged
 
 #: Text bytes per shard; a shard's ids take about two thirds of it.
@@ -41,7 +41,7 @@ SHARD_BYTES = 40 << 20
 #: Keys per bucket of the index, on average.
 BUCKET_KEYS = 1024
 #: Different words that a worker remembers with their ids (about 200 bytes each).
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 600_000
 _MAGIC = 0x52574C31
 _NO_KEY = -(1 << 63)
 _SLOT = np.dtype([("mark", "<u4"), ("shard", "<i4"), ("record", "<i4"), ("times", "<i4"), ("offset", "<i8"), ("n", "<i8")])
@@ -134,6 +134,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     kind = "<u2" if Tokenizer.from_str(definition).get_vocab_size() <= 1 << 16 else "<u4"
     docs = narrow(docs, {"doc_id": "long", "text": "string"})
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(definition)
     name = f"encoder-{zlib.crc32(definition.encode())}-{kind}-{join}"
     end = np.array([end_id], kind).tobytes()
@@ -178,16 +179,17 @@ def read_token_shards(spark: SparkSession, path: str, kind: str, end_id: int = 2
     width = np.dtype(kind).itemsize
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()  # all words are encoded; this worker has no more use for them
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                raw = np.frombuffer(content.as_buffer(), np.uint8)
-                raw = raw[:len(raw) - width]  # the separator after the footer
-                count, magic = np.frombuffer(raw[-16:].tobytes(), "<i8")
+                raw = content.as_buffer()  # a shard is read in place, not copied
+                size = raw.size - width  # without the separator after the footer
+                count, magic = np.frombuffer(raw, "<i8", 2, size - 16)
                 if magic != _MAGIC:
                     raise ValueError(f"{name} is not a token shard")
-                foot = np.frombuffer(raw[len(raw) - 16 - 16 * count:-16].tobytes(), "<i8")
+                foot = np.frombuffer(raw, "<i8", 2 * count, size - 16 - 16 * count).copy()
                 keys, lengths = foot[:count], foot[count:]
-                ids = np.frombuffer(raw[:len(raw) - 16 - 16 * count].tobytes(), kind)
+                ids = np.frombuffer(raw, kind, (size - 16 - 16 * count) // width)
                 ends = np.cumsum(lengths)
                 if len(ids) != ends[-1] or (ids[ends - 1] != end_id).any():
                     raise ValueError(f"{name} is damaged")

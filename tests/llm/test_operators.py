@@ -458,3 +458,27 @@ def test_token_encoder_equals_the_tokenizer():
     assert encoder.encode(texts) == expected
     encoder.by_piece, encoder.known, encoder.before = False, {}, {}
     assert encoder.encode(texts) == expected
+
+
+def test_token_files_hold_little_memory(spark, tmp_path):
+    """Batches are bounded by bytes, and no words are held once the shards are read."""
+    import sys
+
+    import pyarrow as pa
+
+    from rankwell.llm.queries import word_tokenizer
+    from rankwell.llm.shared import per_worker
+
+    docs = spark.createDataFrame([(i, "word " * 20000) for i in range(400)], "doc_id long, text string")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    kind = token_files.write_token_shards(docs, f"{tmp_path}/shards", word_tokenizer())
+    sizes = docs.coalesce(1).mapInArrow(
+        lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())}) for b in batches), "n long")
+    largest = sizes.agg({"n": "max"}).first()[0]
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert largest <= 2 * (8 << 20)
+    rows = token_files.read_token_shards(spark, f"{tmp_path}/shards", kind)
+    assert rows.count() == 400
+    per_worker("test", list).append(1)
+    token_files.nothing_kept()
+    assert "_kept_in_worker" not in sys.modules and per_worker("test", list) == []
