@@ -45,8 +45,8 @@ KNOWN_TOKENS = 400_000
 _SYMBOLS = 128
 #: Steps of the lattice that stay open behind the ones that are settled.
 LAG = 256
-#: Most words that are known when a run of spread letters is cut, the letters of the longest word there, and what an unknown word costs in nats.
-WORDS, WORD_LETTERS, UNKNOWN_COST = 200_000, 64, 2.0
+#: The letters of the longest word when a run of spread letters is cut, and what an unknown word costs there in nats.
+WORD_LETTERS, UNKNOWN_COST = 64, 2.0
 #: Longest token that a task remembers.
 KNOWN_LENGTH = 256
 
@@ -292,14 +292,17 @@ def label_sample(labels: DataFrame, most: int = LABELS) -> DataFrame:
     return halves[0].unionByName(halves[1])
 
 
-def known_words(labelled: DataFrame, most: int = WORDS) -> dict[str, float]:
-    """Log probabilities of the words that occur three times or more in `labelled` (text), whatever their label."""
+def known_words(labelled: DataFrame) -> dict[str, float]:
+    """Log probabilities of all words that occur three times or more in `labelled` (text), whatever their label.
+
+    `labelled` is bounded (`label_sample`), and so are its words.
+    """
     word = F.explode(F.split(F.lower("text"), r"\s+"))
     counts = labelled.select(word.alias("w")).select(F.btrim("w", F.lit(_EDGES)).alias("w")).where("w <> ''").groupBy("w").agg(
         F.count("*").alias("n")).where("n >= 3")
-    found = {r["w"]: r["n"] for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()}
-    total = sum(found.values())
-    return {w: math.log(n / total) for w, n in found.items() if w.isalpha()}
+    found = counts.toArrow()
+    total = sum(found.column("n").to_pylist())
+    return {w: math.log(n / total) for w, n in zip(found.column("w").to_pylist(), found.column("n").to_pylist()) if w.isalpha()}
 
 
 def sign_odds(labelled: DataFrame, model: np.ndarray, most: int = SIGNS, words: dict[str, float] | None = None) -> dict[str, float]:

@@ -308,6 +308,15 @@ def test_decoder_restores_words(spark):
     assert reader.spread("an i d i o t here".split()) == ["idiot"]
 
 
+def test_every_word_of_labelled_rows_is_known(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = ["".join(letters[i // 26 ** k % 26] for k in range(5)) for i in range(200_050)]
+    rows = [(i, " ".join(many)) for i in range(3)] + [(3, "rare, rare; twice"), (4, "x1 x1 x1 (often) often often often"), (5, None)]
+    got = toxicity.known_words(frame(spark, rows))
+    assert set(got) == {*many, "often"}
+    assert got["often"] == pytest.approx(np.log(4 / (3 * len(many) + 3 + 4))) and got[many[-1]] == got[many[0]]
+
+
 def test_toxicity_finds_obfuscated_words(spark):
     rng = np.random.default_rng(8)
     bad = ["idiot", "stupid", "worthless"]
