@@ -118,3 +118,77 @@ def test_aspects_of_pairs_take_one_lookup(spark, small_blocks):
     assert sorted(map(str, together.collect())) == sorted(map(str, apart.collect()))
     scored = spark.createDataFrame([(1, 2, 2.0, 4.0, [0.25, 0.75])], "user_id long, item_id long, service_hat double, rooms_hat double, _weights array<double>")
     assert [r.score for r in aspects.decomposed_score(scored, None, names).collect()] == [3.5]
+
+
+def _candidates(spark, n=40):
+    rows = spark.range(n).select(F.concat(F.lit("row number "), "id").alias("row_id"), F.when(F.col("id") % 9 != 0, F.col("id") % 7).alias("user_id"))
+    idx = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("cand_idx"))
+    return idx.select("row_id", "user_id", (F.xxhash64("row_id", "cand_idx") % 30 + 30).alias("item_id"), "cand_idx",
+                      (F.col("cand_idx") == 0).cast("long").alias("label"))
+
+
+def test_runs_hold_neighbours_together(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 1, 6), (None, 1, 7), (None, 1, None), ("a", None, 9), ("a", 1, 4)],
+                                 "k string, u long, x long").coalesce(1)
+    assert [tuple(r) for r in joins.in_runs(rows, ["k", "u"]).collect()] == [
+        ("a", 1, [5, 6]), (None, 1, [7, None]), ("a", None, [9]), ("a", 1, [4])]
+    parted = joins.in_runs(rows.withColumn("even", F.coalesce(F.col("x") % 2, F.lit(0))), ["k", "u"], "even").collect()
+    assert [tuple(r) for r in parted] == [("a", 1, 0, [6]), ("a", 1, 1, [5]), (None, 1, 0, [None]), (None, 1, 1, [7]), ("a", None, 1, [9]), ("a", 1, 0, [4])]
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_candidates_are_sent_row_by_row(spark, small_blocks, monkeypatch, how):
+    pairs, n = _candidates(spark), F.col("id")
+    users = spark.range(6).select(n.alias("user_id"), (n * 10).alias("u"))
+    items = spark.range(50).select(n.alias("item_id"), (n * 100).alias("i"))
+    columns = [*pairs.columns, "u", "i"]
+    seen = lambda df, names=columns: sorted(map(str, df.select(names).collect()))
+    got = joins.lookup_both(pairs, users, items, (100, 100), how)
+    assert seen(got) == seen(pairs.join(users, "user_id", how).join(items, "item_id", how)) and "MapInArrow" in _plan(got)
+    names, expected = [*pairs.columns, "i"], pairs.join(items, "item_id", how)
+    few = joins.lookup_items(pairs, items, how)
+    assert "BroadcastHashJoin" in _plan(few) and seen(few, names) == seen(expected, names)
+    monkeypatch.setattr(joins, "ITEM_BROADCAST_ROWS", 0)
+    many = joins.lookup_items(pairs, items, how)
+    assert "MapInArrow" in _plan(many) and seen(many, names) == seen(expected, names)
+    plain = pairs.drop("row_id")
+    assert seen(joins.lookup_items(plain, items, how), names[1:]) == seen(expected, names[1:])
+
+
+def test_scores_of_a_group_are_shuffled_as_lists(spark):
+    from rankwell.operators import blending, metrics, stacking
+
+    scored = _candidates(spark).withColumn("score", F.when(F.col("item_id") % 11 != 0, (F.col("item_id") % 5) * 1.0)).repartition(5)
+    scored = scored.unionByName(scored.where("row_id = 'row number 3'"))  # a key that comes twice
+    truth = {}
+    for r in scored.collect():
+        if r.cand_idx == 0 and r.score is not None:
+            truth[r.row_id] = max(r.score, truth.get(r.row_id, -1.0))
+    ranks = dict.fromkeys([f"row number {i}" for i in range(40)], 0.0)
+    for r in scored.collect():
+        if r.cand_idx and r.score is not None and r.score > truth.get(r.row_id, 99.0):
+            ranks[r.row_id] += 1.0
+    made = metrics.rank_of_positive(scored)
+    assert {r.row_id: r["rank"] for r in made.collect()} == ranks and "Window" not in _plan(made)
+    board = blending.component_metrics(scored, ["score"])
+    assert "Window" not in _plan(board)
+    assert board.first().hr_5 == pytest.approx(sum(r < 5 for r in ranks.values()) / 40) and board.first().n == 40
+    assert blending.component_metrics(scored.where("cand_idx = 0"), ["score"]).collect() == []
+    for dealt in (stacking.holdout_label_table(scored, ["score"], 20), blending.minmax_by_group(scored, ["score"])):
+        assert "MapInArrow" in _plan(dealt) and dealt.count() == 820
+    assert {r.row_id for r in stacking.holdout_label_table(scored, ["score"], 20).where("not complete").collect()} == {"row number 3"}
+    assert "Exchange hashpartitioning" not in _plan(blending.minmax_by_user(scored.localCheckpoint(), ["score"])).replace("row_id", "")
+
+
+def test_training_rows_are_written_once(spark, monkeypatch):
+    labelled = spark.range(40).select((F.col("id") % 6).alias("user_id"), (F.col("id") % 5).alias("item_id"), (F.col("id") % 2 * 1.0).alias("label"))
+    single = lambda key: _profiles(spark, key, f"{key}_vector").withColumn(f"{key}_vector", F.col(f"{key}_vector").cast("array<float>"))
+    inputs = fusion.Inputs(factors.Factors(single("user"), single("item"), 2))
+    written, made = [], []
+    monkeypatch.setattr(fusion, "staged", lambda df, label: written.append(label) or df.localCheckpoint())
+    rows = inputs.written(labelled, "rows")
+    seen = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert rows.columns == inputs.add(labelled).columns and seen(rows) == seen(inputs.add(labelled))
+    written.clear()
+    fusion.fusion_ranker(rows, inputs, [2], 1)
+    assert written == []
