@@ -74,3 +74,27 @@ def test_recommended_items_meet_the_known_ones_in_one_shuffle(spark):
     made = knn.itemknn_recommend(history, lists, history, 3, fill_from=0)
     assert "LeftAnti" not in plan(made)
     assert {(r.user_id, r.item_id) for r in made.collect()} <= {(u, i) for u in range(4) for i in range(20) if i % 4 != u}
+
+
+def test_recommended_items_are_added_up_where_their_user_is_ranked(spark, monkeypatch):
+    history = spark.range(60).selectExpr("id % 4 as user_id", "id % 23 as item_id", "id % 5 + 1.0D as rating").distinct()
+    lists = spark.range(20).selectExpr("id as item_id", "explode(array((id + 1) % 20, (id + 7) % 25)) as neighbour", "0.5D + id / 64 as sim", "1L as rank")
+    made = knn.itemknn_recommend(history, lists, history, 3, fill_from=0)
+    # Terms go to their user, and neither to pairs nor on from there.
+    dealt = [line for line in plan(made).splitlines() if "Arguments: hashpartitioning(user_id" in line]
+    assert dealt and not any("item_id" in line for line in dealt)
+    seen = lambda df: sorted((r.user_id, r.item_id, r.score, r.rank) for r in df.collect())
+    monkeypatch.setattr(knn, "LIST", 2)  # long histories are dealt by pair
+    assert seen(knn.itemknn_recommend(history, lists, history, 3, fill_from=0)) == seen(made)
+
+
+def test_lists_are_sent_to_evaluated_rows_whole(spark):
+    from rankwell.operators import retrieval
+
+    rows = spark.createDataFrame([("a", 1, 5), ("b", 1, 9), ("c", None, 5), ("d", 2, None), ("a", 1, 5)], "row_key string, user_id long, item_id long")
+    found = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (2, 7, 1), (None, 5, 1), (3, 3, 1)], "user_id long, item_id long, rank long")
+    pool = retrieval.inject_truth(rows, found, 2)
+    assert sorted(map(str, (tuple(r) for r in pool.collect()))) == sorted(map(str, [
+        *[("a", 1, 5, 1, True, True), ("a", 1, 6, 2, False, True)] * 2, ("b", 1, 5, 1, False, False), ("b", 1, 9, 2, True, False),
+        ("c", None, 5, 1, True, False), ("d", 2, 7, 1, None, False), ("d", 2, None, 2, True, False)]))
+    assert plan(retrieval.inject_truth(rows, found, 2)).count("Arguments: hashpartitioning") <= 2
