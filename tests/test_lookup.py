@@ -192,3 +192,25 @@ def test_training_rows_are_written_once(spark, monkeypatch):
     written.clear()
     fusion.fusion_ranker(rows, inputs, [2], 1)
     assert written == []
+
+
+def test_vectors_of_pairs_take_one_lookup(spark, small_blocks):
+    pairs = spark.range(300).select((F.col("id") % 53).alias("user_id"), (F.col("id") % 49).alias("item_id"), "id")
+    users, items = _profiles(spark, "user", "user_vector"), _profiles(spark, "item", "item_vector")
+    made = joins.lookup_vectors(pairs, users.unionByName(users.where("user_id = 3")), items)
+    assert "SortMergeJoin" not in _plan(made) and _plan(made).count("Exchange") == 3
+    assert sorted(r.id for r in made.collect()) == sorted([i for i in range(300) if i % 53 < 50] + [i for i in range(300) if i % 53 == 3])
+
+
+def test_rows_dealt_by_user_stay_where_they_are(spark):
+    rows = spark.range(300).select(F.when(F.col("id") % 10 != 0, F.col("id") % 7).alias("user_id"), (F.col("id") % 5).alias("item_id"), "id")
+    train = rows.where("id % 4 = 0").unionByName(rows.where("id % 4 = 0"))
+    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = joins.rows_in_train_pairs(rows.repartition("user_id"), train)
+        assert _plan(made).count("Exchange") <= 3 and "SortMergeJoin" not in _plan(made)
+        pairs = {(r.user_id, r.item_id) for r in train.collect()}
+        assert {r.id for r in made.collect()} == {r.id for r in rows.collect() if r.user_id is not None and (r.user_id, r.item_id) in pairs}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
